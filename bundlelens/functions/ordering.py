@@ -2,26 +2,32 @@
 
 Everything rests on ``count_before``: rows are first counted per distinct value (combined before the
 shuffle, so a value that holds a third of all rows costs one row per task), then the distinct values
-are cut into slices of their range and added up slice by slice. A slice total is one of at most
-``SLICES`` rows, so joining the totals back is a broadcast of fixed size.
+are cut into slices that follow their order and added up slice by slice. The number of slices has a
+fixed bound, so joining their totals back is a broadcast of bounded size.
+
+The functions read their input more than once: give them a table, or ``hold`` the frame first.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICES = 1024
+from bundlelens.session import hold
+
+SLICES_PER_OCTAVE = 64   # doubles span 2,098 octaves with both signs, so at most 134,272 slices
 TIE_CELLS_HEX = 4        # 16**4 cells split the rows of one tied score
 TOP_N_BRANCHES = 64      # first-level groups of a two-level top-n
 
 
+def _slice_of(key: Column) -> Column:
+    """A slice number that never falls when the key rises: small steps near zero, wider ones further out."""
+    size = F.log2(F.abs(key) + 1.0) * float(SLICES_PER_OCTAVE)
+    return F.floor(F.when(key < 0, -size).otherwise(size))
+
+
 def count_before(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
     """Per distinct non-null value: rows holding it (``n``), rows sorted before it (``before``), all rows (``total``)."""
     key = F.col(value).cast("double") * (-1.0 if descending else 1.0)
     levels = (df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-                .withColumn("_key", key))
-    span = levels.agg(F.struct(F.min("_key").alias("lo"), F.max("_key").alias("hi"))).scalar()
-    lo, hi = span["lo"], span["hi"]
-    place = F.least(F.floor((F.col("_key") - lo) / (hi - lo) * SLICES), F.lit(SLICES - 1))
-    levels = levels.withColumn("_slice", F.when(hi > lo, place).otherwise(F.lit(0)))
+                .withColumn("_key", key).withColumn("_slice", _slice_of(F.col("_key"))))
 
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (levels.groupBy("_slice").agg(F.sum("n").alias("_size"))
@@ -34,14 +40,14 @@ def count_before(df: DataFrame, value: str, descending: bool = False) -> DataFra
             .select(value, "n", (F.col("_start") + F.col("_inside")).alias("before"), "total"))
 
 
-def global_rank(df: DataFrame, value: str, name: str, descending: bool = True) -> DataFrame:
-    """Minimum rank (ties share the smallest position) of ``value`` over all rows; null stays unranked."""
-    ranks = count_before(df.select(value), value, descending).select(value, (F.col("before") + 1).alias(name))
-    return df.join(ranks, value, "left")
+def _place(score: Column, tie: Column, key: Column) -> Column:
+    """Where a row sorts: by falling score, then tie hash, then key."""
+    return F.struct((-score).alias("s"), tie.alias("t"), key.alias("k"))
 
 
-def _position_struct(score: Column, tie: Column, key: Column) -> Column:
-    return F.struct((-score).alias("desc_score"), tie.alias("tie"), key.alias("key"))
+def _passed(marks: str, at: Column, upto: int) -> Column:
+    """How many of the first ``upto`` sorted marks in the array column lie before or at ``at``."""
+    return sum((F.coalesce((F.get(marks, F.lit(i)) <= at).cast("int"), F.lit(0)) for i in range(upto)), F.lit(0))
 
 
 def exact_ntile(df: DataFrame, score: str, key: str, tiles: int = 10, name: str = "tile") -> DataFrame:
@@ -55,36 +61,35 @@ def exact_ntile(df: DataFrame, score: str, key: str, tiles: int = 10, name: str
     levels = count_before(narrow.select("_score"), "_score", descending=True)
     size, extra = F.floor(F.col("total") / tiles), F.col("total") % tiles
     starts = F.array(*[F.lit(k) * size + F.least(F.lit(k), extra) for k in range(1, tiles)])
-    cuts = (levels.select("_score", "before", F.explode(F.filter(
-                starts, lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n")))).alias("_start"))
-            .select("_score", (F.col("_start") - F.col("before")).alias("_offset")))
-    inner_cuts = cuts.filter("_offset > 0")
-
-    tie = F.md5(F.col("_key"))
-    split_scores = inner_cuts.agg(F.collect_set("_score")).scalar()
-    tied = (narrow.filter(F.array_contains(split_scores, F.col("_score")))
-            .withColumn("_tie", tie).withColumn("_cell", F.substring("_tie", 1, TIE_CELLS_HEX)))
+    # At most tiles - 1 rows: the score each tile starts in, and how many rows of that score come before.
+    cuts = hold(levels.select("_score", "before", F.explode(F.filter(
+                    starts, lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n")))).alias("_start"))
+                .select("_score", (F.col("_start") - F.col("before")).alias("_offset")))
+    split = F.broadcast(cuts.filter("_offset > 0").select("_score").distinct())
+
+    tied = (narrow.join(split, "_score", "left_semi")
+            .withColumn("_tie", F.md5(F.col("_key"))).withColumn("_cell", F.substring("_tie", 1, TIE_CELLS_HEX)))
     in_score = Window.partitionBy("_score").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (tied.groupBy("_score", "_cell").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("before", F.coalesce(F.sum("n").over(in_score), F.lit(0))))
-    cell_cuts = (cells.join(F.broadcast(inner_cuts), "_score")
+    cell_cuts = (tied.groupBy("_score", "_cell").agg(F.count(F.lit(1)).alias("n"))
+                 .withColumn("before", F.coalesce(F.sum("n").over(in_score), F.lit(0)))
+                 .join(F.broadcast(cuts.filter("_offset > 0")), "_score")
                  .filter("_offset >= before AND _offset < before + n")
-                 .select("_score", "_cell", (F.col("_offset") - F.col("before")).alias("_offset")))
+                 .groupBy("_score", "_cell").agg(F.collect_set(F.col("_offset") - F.col("before")).alias("_offsets")))
     in_cell = Window.partitionBy("_score", "_cell").orderBy("_tie", "_key")
-    first_rows = (tied.join(F.broadcast(cell_cuts.select("_score", "_cell").distinct()), ["_score", "_cell"], "left_semi")
-                  .withColumn("_offset", F.row_number().over(in_cell) - 1)
-                  .join(F.broadcast(cell_cuts), ["_score", "_cell", "_offset"], "left_semi"))
+    inside = (tied.join(F.broadcast(cell_cuts), ["_score", "_cell"])
+              .withColumn("_at", (F.row_number().over(in_cell) - 1).cast("bigint"))
+              .filter(F.array_contains("_offsets", F.col("_at")))
+              .select(_place(F.col("_score"), F.col("_tie"), F.col("_key")).alias("m")))
     none = F.lit("")
-    bounds = (cuts.filter("_offset = 0").select(_position_struct(F.col("_score"), none, none).alias("b"))
-              .unionByName(first_rows.select(_position_struct(F.col("_score"), F.col("_tie"), F.col("_key")).alias("b")))
-              .agg(F.sort_array(F.collect_list("b"))).scalar())
+    whole = cuts.filter("_offset = 0").select(_place(F.col("_score"), none, none).alias("m"))
+    marks = hold(whole.unionByName(inside).agg(F.sort_array(F.collect_list("m")).alias("marks")))
 
-    here = _position_struct(F.col(score),
-                            F.when(F.array_contains(split_scores, F.col(score)), F.md5(F.col(key))).otherwise(none),
-                            F.col(key))
-    past = [F.coalesce((F.get(bounds, F.lit(i)) <= F.col("_here")).cast("int"), F.lit(0)) for i in range(tiles - 1)]
-    return (df.withColumn("_here", here)
-            .withColumn(name, (F.lit(1) + sum(past, F.lit(0))).cast("bigint")).drop("_here"))
+    scores = marks.select(F.transform("marks", lambda m: m["s"])).scalar()
+    at_start = F.array_contains("_starts", -F.col(score))
+    here = _place(F.col(score), F.when(at_start, F.md5(F.col(key))).otherwise(none), F.col(key))
+    return (df.withColumns({"_marks": marks.scalar(), "_starts": scores}).withColumn("_here", here)
+            .withColumn(name, (_passed("_marks", F.col("_here"), tiles - 1) + 1).cast("bigint"))
+            .drop("_here", "_marks", "_starts"))
 
 
 def quantile_deciles(df: DataFrame, score: str, bins: int = 10, name: str = "decile") -> DataFrame:
@@ -94,11 +99,8 @@ def quantile_deciles(df: DataFrame, score: str, bins: int = 10, name: str = "dec
     """
     levels = count_before(df.select(score), score, descending=True)
     last = F.col("total") - 1
-    spots = []
-    for k in range(bins + 1):
-        low = F.floor(last * k / bins)
-        spots += [F.struct(F.lit(k).alias("k"), F.lit(upper).alias("upper"), (low + upper).alias("at"))
-                  for upper in (0, 1)]
+    spots = [F.struct(F.lit(k).alias("k"), F.lit(upper).alias("upper"), (F.floor(last * k / bins) + upper).alias("at"))
+             for k in range(bins + 1) for upper in (0, 1)]
     picked = (levels.select((-F.col(score)).alias("x"), "total", F.explode(F.filter(
                   F.array(*spots),
                   lambda s: (s["at"] >= F.col("before")) & (s["at"] < F.col("before") + F.col("n")))).alias("s"))
@@ -107,10 +109,13 @@ def quantile_deciles(df: DataFrame, score: str, bins: int = 10, name: str = "dec
                                   F.max("total").alias("total")))
     share = ((F.col("total") - 1) * F.col("k") % bins).cast("double") / float(bins)
     edge = F.col("lo") + F.coalesce((F.col("hi") - F.col("lo")) * share, F.lit(0.0))
-    edges = picked.agg(F.sort_array(F.collect_set(edge))).scalar()
-    above = [F.coalesce((F.get(edges, F.lit(i)) < -F.col(score)).cast("int"), F.lit(0)) for i in range(bins + 1)]
-    return df.withColumn(name, F.when(F.col(score).isNotNull(),
-                                      F.greatest(F.lit(1), sum(above, F.lit(0)))).cast("bigint"))
+    edges = hold(picked.agg(F.sort_array(F.collect_set(edge)).alias("edges")))
+    x = -F.col(score)
+    # Edges at or before x, less the one x may sit on; the first edge is the lowest value itself.
+    below = _passed("_edges", x, bins + 1) - F.array_contains("_edges", x).cast("int")
+    return (df.withColumn("_edges", edges.scalar())
+            .withColumn(name, F.when(F.col(score).isNotNull(), F.greatest(F.lit(1), below)).cast("bigint"))
+            .drop("_edges"))
 
 
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "position") -> DataFrame:

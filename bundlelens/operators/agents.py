@@ -1,19 +1,30 @@
 """Agent leaderboards and performance gaps.
 
-The number of agents is not bounded by a code list, so ranks over them use ``global_rank`` and the best
+The number of agents is not bounded by a code list, so ranks over them count the rows before each value and the best
 and worst k are top-k selections; neither gathers the leaderboard in one task.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bundlelens.functions import numeric as num
-from bundlelens.functions.ordering import global_rank
+from bundlelens.functions.ordering import count_before
 from bundlelens.operators.filters import having_min_group
 from bundlelens.operators.segments import CLTV, CONVERTED, by_desc, rate_measures
+from bundlelens.session import hold
 
 GRAIN = ["agent_id", "agency_channel", "region", "state"]
 
 
+def _ranked(board: DataFrame, ranks: dict[str, str]) -> DataFrame:
+    """Add a rank per measure. The grouped rows are held, as every rank reads them again."""
+    held = hold(board)
+    ranked = held
+    for value, name in ranks.items():
+        place = count_before(held.select(value), value, descending=True)
+        ranked = ranked.join(place.select(value, (F.col("before") + 1).alias(name)), value)
+    return ranked
+
+
 def agent_leaderboard_sql(df: DataFrame, min_households: int = 50) -> DataFrame:
     """Rounded measures per agent, channel, region and state, ranked on the rounded values."""
     hits = num.total(CONVERTED)
@@ -22,22 +33,25 @@ def agent_leaderboard_sql(df: DataFrame, min_households: int = 50) -> DataFrame:
         num.rnd(num.money_mean(CLTV)).alias("avg_cltv"), num.rnd(num.money_sum(CLTV) / 1000.0, 1).alias("total_cltv_k"),
         num.rnd(num.mean("outreach_contacts_12m")).alias("avg_outreach"),
         num.rnd(num.mean("digital_engagement_score")).alias("avg_digital_score")), min_households)
-    for value, name in [("rate_pct", "rank_by_rate"), ("converted", "rank_by_conversions"), ("total_cltv_k", "rank_by_cltv")]:
-        board = global_rank(board, value, name)
+    board = _ranked(board, {"rate_pct": "rank_by_rate", "converted": "rank_by_conversions", "total_cltv_k": "rank_by_cltv"})
     return board.orderBy(*by_desc("converted", *GRAIN))
 
 
-def agent_leaderboard(df: DataFrame, min_households: int = 50) -> DataFrame:
-    """Measures per agent, channel, region and state, ranked on unrounded values."""
+def agent_measures(df: DataFrame, min_households: int = 50) -> DataFrame:
+    """Unrounded measures per agent, channel, region and state with enough households: a leaderboard without ranks."""
     rate, n, hits, _ = rate_measures()
     total = num.money_sum(CLTV)
-    board = having_min_group(df.groupBy(*GRAIN).agg(
+    return having_min_group(df.groupBy(*GRAIN).agg(
         n, hits, rate, num.money_mean(CLTV).alias("avg_cltv"), total.alias("total_cltv"),
         num.mean("outreach_contacts_12m").alias("avg_outreach"), num.mean("digital_engagement_score").alias("avg_digital"),
         num.rnd(num.ratio(num.total(CONVERTED), num.rows()) * 100.0).alias("rate_pct"),
         num.rnd(total / 1000.0, 1).alias("total_cltv_k")), min_households)
-    for value, name in [("converted", "rank_converted"), ("rate", "rank_rate"), ("total_cltv", "rank_cltv")]:
-        board = global_rank(board, value, name)
+
+
+def agent_leaderboard(df: DataFrame, min_households: int = 50) -> DataFrame:
+    """``agent_measures`` ranked on unrounded values."""
+    board = _ranked(agent_measures(df, min_households),
+                    {"converted": "rank_converted", "rate": "rank_rate", "total_cltv": "rank_cltv"})
     return board.orderBy(*by_desc("converted", *GRAIN))
 
 

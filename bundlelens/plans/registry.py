@@ -13,7 +13,7 @@ from bundlelens.functions.ordering import quantile_deciles
 from bundlelens.operators import agents, campaigns, deciles, filters, funnel, preparation as prep, propensity
 from bundlelens.operators import quarters, segments, states
 from bundlelens.session import shared_dir
-from bundlelens.sources.households import order_households
+from bundlelens.sources.households import order_households, stored_households
 from bundlelens.sources.snapshots import read_snapshot, write_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,14 @@ BOARD_CHANNELS = ["Independent Agent", "Direct Online"]
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_households(spark, sf_dir)
+    return stored_households(spark, sf_dir)
 
 
 def households(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_households(spark, sf_dir).select(*S.HOUSEHOLD_COLUMNS)
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_households(spark, sf_dir).select(*S.HOUSEHOLD_COLUMNS)
 
 
@@ -45,7 +49,7 @@ def _date_text(df: DataFrame) -> DataFrame:
 
 def _written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/snapshots/{uuid4().hex}"
-    write_snapshot(benchmark(spark, sf_dir).select(*S.BENCHMARK_COLUMNS), path, by="quarter")
+    write_snapshot(order_households(spark, sf_dir).select(*S.BENCHMARK_COLUMNS), path, by="quarter")
     back = read_snapshot(spark, path, S.BENCHMARK_SCHEMA)
     return back.groupBy("quarter").agg(*segments.volume("rate_pct"), num.money_sum("projected_mphh_cltv").alias("total_cltv"))
 
@@ -117,14 +121,13 @@ def _model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     H, B = households, benchmark
-    board = agents.agent_leaderboard
-    boarded = lambda op: _on(B, lambda b: op(board(b)))
+    boarded = lambda op: _on(B, lambda b: op(agents.agent_measures(b)))
     crosssell = lambda: filters.crosssell_predicate(**CROSSSELL_CHOICE)
     bench = lambda: filters.benchmark_predicate(**BENCHMARK_CHOICE)
 
     found: dict[str, Query] = {
         # preparation
-        "scan_households": _on(H, _date_text),
+        "scan_households": _on(_view, _date_text),
         "write_snapshot": _written_and_read,
         "dataset_profile": _on(H, _profile),
         "schema_check": _on(B, prep.schema_check),
@@ -198,7 +201,7 @@ def queries() -> dict[str, Query]:
         "kpi_benchmark": _on(B, lambda b: quarters.kpi_benchmark(b, bench())),
         "tracker_status": _on(B, lambda b: quarters.tracker_status(quarters.quarter_summary(b))),
         "yoy_summary": _on(B, lambda b: quarters.yoy_summary(quarters.yoy_table(b))),
-        "agent_leaderboard": _on(B, board),
+        "agent_leaderboard": _on(B, agents.agent_leaderboard),
         "leaderboard_top": boarded(agents.leaderboard_top),
         "agent_rate_spread": boarded(agents.agent_rate_spread),
         "region_agents": boarded(agents.region_agents),

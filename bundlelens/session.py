@@ -3,7 +3,9 @@
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution picks join sides from measured sizes, splits skewed partitions and merges small
 # ones, so only the upper bound of the shuffle width is set by hand.
@@ -42,3 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Write a frame that several later steps read to a table in the shared folder, and return that table.
+
+    What it was computed from is then not repeated by each reader, nor by a task that is run again.
+    """
+    path = f"{shared_dir(df.sparkSession)}/held/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
