@@ -43,7 +43,7 @@ def add_tenure_bucket(df: DataFrame, mode: str = "cut", labels: list[str] | None
     """Add the bucket label and its sort key ``bucket_ord``."""
     labels = labels or S.TENURE_MO
     return (df.withColumn("bucket_ord", bucket_ordinal(mode))
-              .withColumn(name, F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("bucket_ord") + 1)))
+              .withColumn(name, F.get(F.array(*[F.lit(x) for x in labels]), F.col("bucket_ord"))))
 
 
 def quarter_spine(spark: SparkSession, spine: Mapping[str, float] | None = None) -> DataFrame:

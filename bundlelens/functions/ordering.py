@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bundlelens.session import hold
 
-SLICES_PER_OCTAVE = 64   # doubles span 2,098 octaves with both signs, so at most 134,272 slices
+SLICES_PER_OCTAVE = 256  # log2(1 + |double|) is below 1,025, so at most 524,800 slices with both signs
 TIE_CELLS_HEX = 4        # 16**4 cells split the rows of one tied score
 TOP_N_BRANCHES = 64      # first-level groups of a two-level top-n
 

@@ -110,6 +110,8 @@ def _mean_of_first(rows: DataFrame, order: list[Column], k: int) -> Column:
 
 
 def _gap(rows: DataFrame, best: list[Column], worst: list[Column], k: int) -> DataFrame:
+    # Three readings of the same group rows: held, so the fact is grouped once.
+    rows = hold(rows)
     top, bottom = _mean_of_first(rows, best, k), _mean_of_first(rows, worst, k)
     # Rates have two decimals, so the percentile buffers at most 10,001 distinct values.
     return rows.agg(F.percentile("rate_pct", F.lit(0.5)).alias("median")).select(
@@ -129,7 +131,8 @@ def agent_gap(board: DataFrame, rank_by: str = "rate", k: int = 10) -> DataFrame
     """Mean rate of the first and last k leaderboard rows in the chosen order, and the median rate."""
     column = RANK_COLUMNS[rank_by]
     backwards = [F.col(column), *[F.col(c).desc() for c in GRAIN]]
-    gap = _gap(board, by_desc(column, *GRAIN), backwards, k)
+    order_columns = dict.fromkeys([column, "rate_pct", *GRAIN])
+    gap = _gap(board.select(*order_columns), by_desc(column, *GRAIN), backwards, k)
     return gap.select(num.rnd("top", 6).alias("top_avg_rate"), num.rnd("median", 4).alias("median_rate"),
                       num.rnd("bottom", 6).alias("bottom_avg_rate"))
 

@@ -88,7 +88,8 @@ def feature_importance(spark: SparkSession, model: PipelineModel, limit: int = 1
     """Leading features of a fitted model with their labels, and whether each is above the shown median."""
     names = model.stages[0].getInputCols()
     values = model.stages[-1].featureImportances.toArray().tolist()
-    shown = (spark.createDataFrame(list(zip(names, values)), "feature string, importance double")
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(v).alias("importance")) for n, v in zip(names, values)])
+    shown = (spark.range(1).select(F.inline(pairs))
              .orderBy(F.col("importance").desc(), "feature").limit(limit)
              .withColumn("label", F.coalesce(lookup("feature", S.FEATURE_LABELS), F.col("feature"))))
     median = shown.agg(F.median("importance")).scalar()

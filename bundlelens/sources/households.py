@@ -34,7 +34,7 @@ _INTERCEPT = -3.05
 
 
 def _at(names: list[str], index) -> F.Column:
-    return F.element_at(F.array(*[F.lit(x) for x in names]), (index + 1).cast("int"))
+    return F.get(F.array(*[F.lit(x) for x in names]), index.cast("int"))
 
 
 def _flag(cond) -> F.Column:
