@@ -35,8 +35,10 @@ def count_before(df: DataFrame, value: str, descending: bool = False) -> DataFra
                       F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"),
                       F.sum("_size").over(Window.partitionBy()).alias("total")))
     inside = Window.partitionBy("_slice").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    # A left join (every slice has its total): an inner one would add a filter to this side only, and the
+    # grouped values would then be computed once per side instead of being shared.
     return (levels.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(F.broadcast(slices), "_slice")
+            .join(F.broadcast(slices), "_slice", "left")
             .select(value, "n", (F.col("_start") + F.col("_inside")).alias("before"), "total"))
 
 

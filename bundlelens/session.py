@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    # The JVM never compiles a method above 8,000 bytes of code; past that size split code is the faster form.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
