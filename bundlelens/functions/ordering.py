@@ -8,9 +8,9 @@ fixed bound, so joining their totals back is a broadcast of bounded size.
 The functions read their input more than once: give them a table, or ``hold`` the frame first.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
 
-from bundlelens.session import hold
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICES_PER_OCTAVE = 256  # log2(1 + |double|) is below 1,025, so at most 524,800 slices with both signs
 TIE_CELLS_HEX = 4        # 16**4 cells split the rows of one tied score
@@ -23,82 +23,84 @@ def _slice_of(key: Column) -> Column:
     return F.floor(F.when(key < 0, -size).otherwise(size))
 
 
-def count_before(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
-    """Per distinct non-null value: rows holding it (``n``), rows sorted before it (``before``), all rows (``total``)."""
+def count_before(df: DataFrame, value: str, descending: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+    """Per distinct non-null value: rows holding it (``n``), rows sorted before it (``before``), all rows (``total``).
+
+    With ``within``, each combination of those columns is counted on its own; there must be few of them.
+    """
     key = F.col(value).cast("double") * (-1.0 if descending else 1.0)
-    levels = (df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    levels = (df.filter(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count(F.lit(1)).alias("n"))
                 .withColumn("_key", key).withColumn("_slice", _slice_of(F.col("_key"))))
 
-    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (levels.groupBy("_slice").agg(F.sum("n").alias("_size"))
-              .select("_slice",
+    earlier = Window.partitionBy(*within).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (levels.groupBy(*within, "_slice").agg(F.sum("n").alias("_size"))
+              .select(*within, "_slice",
                       F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"),
-                      F.sum("_size").over(Window.partitionBy()).alias("total")))
-    inside = Window.partitionBy("_slice").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+                      F.sum("_size").over(Window.partitionBy(*within)).alias("total")))
+    inside = Window.partitionBy(*within, "_slice").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     # A left join (every slice has its total): an inner one would add a filter to this side only, and the
     # grouped values would then be computed once per side instead of being shared.
     return (levels.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(F.broadcast(slices), "_slice", "left")
-            .select(value, "n", (F.col("_start") + F.col("_inside")).alias("before"), "total"))
-
+            .join(F.broadcast(slices), [*within, "_slice"], "left")
+            .select(*within, value, "n", (F.col("_start") + F.col("_inside")).alias("before"), "total"))
 
-def _place(score: Column, tie: Column, key: Column) -> Column:
-    """Where a row sorts: by falling score, then tie hash, then key."""
-    return F.struct((-score).alias("s"), tie.alias("t"), key.alias("k"))
 
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
-def _passed(marks: str, at: Column, upto: int) -> Column:
-    """How many of the first ``upto`` sorted marks in the array column lie before or at ``at``."""
-    return sum((F.coalesce((F.get(marks, F.lit(i)) <= at).cast("int"), F.lit(0)) for i in range(upto)), F.lit(0))
 
+def tile_starts(df: DataFrame, score: str, key: str, tiles: int) -> list[tuple[float, str, str]]:
+    """The first row of tiles 2 to ``tiles`` as (score, tie hash, key): at most ``tiles - 1`` rows reach the driver.
 
-def exact_ntile(df: DataFrame, score: str, key: str, tiles: int = 10, name: str = "tile") -> DataFrame:
-    """NTILE(tiles) by descending score; ties are ordered by md5(key), key.
-
-    Only the first row of each tile has to be found; every other row then knows its tile by comparing
-    itself with those ``tiles - 1`` rows. A tile may start in the middle of a tied score. Its rows are
-    counted in cells of their md5 prefix, and only the one cell that holds the start is sorted.
+    A start at the first row of its score needs no tie hash and has empty texts. A start inside a tied score
+    is looked up among that score's rows only: they are counted in cells of their hash prefix, and only the
+    one cell that holds the start is sorted.
     """
-    narrow = df.select(F.col(score).alias("_score"), F.col(key).alias("_key"))
-    levels = count_before(narrow.select("_score"), "_score", descending=True)
+    levels = count_before(df.select(score), score, descending=True)
     size, extra = F.floor(F.col("total") / tiles), F.col("total") % tiles
     starts = F.array(*[F.lit(k) * size + F.least(F.lit(k), extra) for k in range(1, tiles)])
-    # At most tiles - 1 rows: the score each tile starts in, and how many rows of that score come before.
-    cuts = hold(levels.select("_score", "before", F.explode(F.filter(
-                    starts, lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n")))).alias("_start"))
-                .select("_score", (F.col("_start") - F.col("before")).alias("_offset")))
-    split = F.broadcast(cuts.filter("_offset > 0").select("_score").distinct())
-
-    tied = (narrow.join(split, "_score", "left_semi")
-            .withColumn("_tie", F.md5(F.col("_key"))).withColumn("_cell", F.substring("_tie", 1, TIE_CELLS_HEX)))
-    in_score = Window.partitionBy("_score").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cell_cuts = (tied.groupBy("_score", "_cell").agg(F.count(F.lit(1)).alias("n"))
-                 .withColumn("before", F.coalesce(F.sum("n").over(in_score), F.lit(0)))
-                 .join(F.broadcast(cuts.filter("_offset > 0")), "_score")
-                 .filter("_offset >= before AND _offset < before + n")
-                 .groupBy("_score", "_cell").agg(F.collect_set(F.col("_offset") - F.col("before")).alias("_offsets")))
-    in_cell = Window.partitionBy("_score", "_cell").orderBy("_tie", "_key")
-    inside = (tied.join(F.broadcast(cell_cuts), ["_score", "_cell"])
-              .withColumn("_at", (F.row_number().over(in_cell) - 1).cast("bigint"))
-              .filter(F.array_contains("_offsets", F.col("_at")))
-              .select(_place(F.col("_score"), F.col("_tie"), F.col("_key")).alias("m")))
-    none = F.lit("")
-    whole = cuts.filter("_offset = 0").select(_place(F.col("_score"), none, none).alias("m"))
-    marks = hold(whole.unionByName(inside).agg(F.sort_array(F.collect_list("m")).alias("marks")))
-
-    scores = marks.select(F.transform("marks", lambda m: m["s"])).scalar()
-    at_start = F.array_contains("_starts", -F.col(score))
-    here = _place(F.col(score), F.when(at_start, F.md5(F.col(key))).otherwise(none), F.col(key))
-    return (df.withColumns({"_marks": marks.scalar(), "_starts": scores}).withColumn("_here", here)
-            .withColumn(name, (_passed("_marks", F.col("_here"), tiles - 1) + 1).cast("bigint"))
-            .drop("_here", "_marks", "_starts"))
+    cuts = (levels.select(F.col(score).alias("s"), "before", F.explode(F.filter(
+                starts, lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n")))).alias("start"))
+            .select("s", (F.col("start") - F.col("before")).alias("offset")).collect())
+    found = [(c.s, "", "") for c in cuts if c.offset == 0]
+    inner = [c for c in cuts if c.offset > 0]
+    if not inner:
+        return found
+
+    tied = (df.select(F.col(score).alias("s"), F.col(key).alias("k")).filter(F.col("s").isin([c.s for c in inner]))
+            .withColumn("t", F.md5("k")).withColumn("cell", F.substring("t", 1, TIE_CELLS_HEX)))
+    earlier = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (tied.groupBy("s", "cell").agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+    holds = lambda c: (F.col("s") == c.s) & (F.col("before") <= c.offset) & (F.col("before") + F.col("n") > c.offset)
+    cells = counted.filter(_any([holds(c) for c in inner])).collect()
+    spots = [(m.s, m.cell, c.offset - m.before) for m in cells for c in inner
+             if m.s == c.s and m.before <= c.offset < m.before + m.n]
+    at_cell = lambda s, cell: (F.col("s") == s) & (F.col("cell") == cell)
+    in_cell = Window.partitionBy("s", "cell").orderBy("t", "k")
+    first_rows = (tied.filter(_any([at_cell(s, cell) for s, cell, _ in spots]))
+                  .withColumn("at", F.row_number().over(in_cell) - 1)
+                  .filter(_any([at_cell(s, cell) & (F.col("at") == at) for s, cell, at in spots])))
+    return found + [(r.s, r.t, r.k) for r in first_rows.select("s", "t", "k").collect()]
 
 
-def quantile_deciles(df: DataFrame, score: str, bins: int = 10, name: str = "decile") -> DataFrame:
-    """Quantile bins of descending score, 1 = highest; ties stay together and repeated edges are merged.
+def exact_ntile(df: DataFrame, score: str, key: str, tiles: int = 10, name: str = "tile") -> DataFrame:
+    """NTILE(tiles) by descending score; ties are ordered by md5(key), key. A null score has no tile.
 
-    Edges are the exact linearly interpolated quantiles of ``-score``; bins are closed on the right.
+    Once the first row of each tile is known (``tile_starts``), every row finds its tile by comparing itself
+    with those few rows, so the table is neither sorted nor moved.
     """
+    marks = tile_starts(df, score, key, tiles)
+    s, t, k = F.col(score), F.col("_tie"), F.col(key)
+    reached = [(s < ms) | ((s == ms) & ((t > mt) | ((t == mt) & (k >= mk)))) if mt else s <= ms for ms, mt, mk in marks]
+    tile = sum((r.cast("int") for r in reached), F.lit(1))
+    split = [ms for ms, mt, _ in marks if mt]
+    tie = F.when(s.isin(split), F.md5(k)).otherwise("") if split else F.lit("")
+    return (df.withColumn("_tie", tie).withColumn(name, F.when(s.isNotNull(), tile).cast("bigint")).drop("_tie"))
+
+
+def quantile_edges(df: DataFrame, score: str, bins: int) -> list[float]:
+    """Distinct quantiles of ``-score`` at 0, 1/bins, ..., 1, exact with linear interpolation: at most bins + 1 numbers."""
     levels = count_before(df.select(score), score, descending=True)
     last = F.col("total") - 1
     spots = [F.struct(F.lit(k).alias("k"), F.lit(upper).alias("upper"), (F.floor(last * k / bins) + upper).alias("at"))
@@ -111,13 +113,16 @@ def quantile_deciles(df: DataFrame, score: str, bins: int = 10, name: str = "dec
                                   F.max("total").alias("total")))
     share = ((F.col("total") - 1) * F.col("k") % bins).cast("double") / float(bins)
     edge = F.col("lo") + F.coalesce((F.col("hi") - F.col("lo")) * share, F.lit(0.0))
-    edges = hold(picked.agg(F.sort_array(F.collect_set(edge)).alias("edges")))
-    x = -F.col(score)
-    # Edges at or before x, less the one x may sit on; the first edge is the lowest value itself.
-    below = _passed("_edges", x, bins + 1) - F.array_contains("_edges", x).cast("int")
-    return (df.withColumn("_edges", edges.scalar())
-            .withColumn(name, F.when(F.col(score).isNotNull(), F.greatest(F.lit(1), below)).cast("bigint"))
-            .drop("_edges"))
+    return sorted({r.edge for r in picked.select(edge.alias("edge")).collect()})
+
+
+def quantile_deciles(df: DataFrame, score: str, bins: int = 10, name: str = "decile") -> DataFrame:
+    """Quantile bins of descending score, 1 = highest; ties stay together and repeated edges are merged.
+
+    Bins are closed on the right, the first one on both sides: a row's bin is the number of edges below -score.
+    """
+    below = sum(((F.lit(e) < -F.col(score)).cast("int") for e in quantile_edges(df, score, bins)), F.lit(0))
+    return df.withColumn(name, F.when(F.col(score).isNotNull(), F.greatest(F.lit(1), below)).cast("bigint"))
 
 
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "position") -> DataFrame:

@@ -16,13 +16,18 @@ GRAIN = ["agent_id", "agency_channel", "region", "state"]
 
 
 def _ranked(board: DataFrame, ranks: dict[str, str]) -> DataFrame:
-    """Add a rank per measure. The grouped rows are held, as every rank reads them again."""
+    """Add a descending rank per measure.
+
+    All measures are ranked in one pass over (measure, value) lines, which are then folded back to rows. The
+    grouped rows are held first, as they are read twice.
+    """
     held = hold(board)
-    ranked = held
-    for value, name in ranks.items():
-        place = count_before(held.select(value), value, descending=True)
-        ranked = ranked.join(place.select(value, (F.col("before") + 1).alias(name)), value)
-    return ranked
+    pairs = F.array(*[F.struct(F.lit(c).alias("_measure"), F.col(c).cast("double").alias("_value")) for c in ranks])
+    lines = held.select("*", F.inline(pairs))
+    places = count_before(lines.select("_measure", "_value"), "_value", descending=True, within=("_measure",))
+    return (lines.join(places.select("_measure", "_value", "before"), ["_measure", "_value"])
+            .groupBy(*held.columns).agg(
+                *[F.max(F.when(F.col("_measure") == c, F.col("before") + 1)).alias(name) for c, name in ranks.items()]))
 
 
 def agent_leaderboard_sql(df: DataFrame, min_households: int = 50) -> DataFrame:

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     # The JVM never compiles a method above 8,000 bytes of code; past that size split code is the faster form.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Without it every column operation in Python also records its source line, at several calls to the JVM each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",

@@ -15,6 +15,7 @@ SF001, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
                             spark__driver__host="127.0.0.1", spark__driver__bindAddress="127.0.0.1", spark__driver__memory="6g",
+                            spark__sql__maxMetadataStringLength="10000",
                             spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
