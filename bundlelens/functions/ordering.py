@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICES_PER_OCTAVE = 256  # log2(1 + |double|) is below 1,025, so at most 524,800 slices with both signs
 TIE_CELLS_HEX = 4        # 16**4 cells split the rows of one tied score
-TOP_N_BRANCHES = 64      # first-level groups of a two-level top-n
+TOP_N_BRANCHES = 512     # first-level groups of a two-level top-n
 
 
 def _slice_of(key: Column) -> Column:

@@ -101,11 +101,10 @@ def tracker_status(summary: DataFrame) -> DataFrame:
 
 def channel_quarter_grid(df: DataFrame, spine: Mapping[str, float] = S.QUARTER_TARGETS) -> DataFrame:
     """Conversions of every channel seen in every quarter of the spine; missing cells are zero."""
-    cells = df.groupBy("agency_channel", "quarter").agg(num.total(CONVERTED).alias("converted"))
-    every = cells.select("agency_channel").distinct().withColumn("quarter", F.explode(F.array(*[F.lit(q) for q in spine])))
-    return (every.join(cells, ["agency_channel", "quarter"], "left")
-            .select("quarter", "agency_channel", F.coalesce("converted", F.lit(0)).alias("converted"))
-            .orderBy("quarter", "agency_channel"))
+    in_quarter = [F.sum(F.when(F.col("quarter") == q, F.col(CONVERTED)).cast("bigint")).alias(q) for q in spine]
+    cells = F.array(*[F.struct(F.lit(q).alias("quarter"), F.coalesce(q, F.lit(0)).alias("converted")) for q in spine])
+    return (df.groupBy("agency_channel").agg(*in_quarter).select("agency_channel", F.inline(cells))
+            .select("quarter", "agency_channel", "converted").orderBy("quarter", "agency_channel"))
 
 
 # ---- against earlier years --------------------------------------------------------------

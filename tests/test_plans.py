@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bundlelens.functions.ordering import count_before
-from bundlelens.operators import campaigns, filters, quarters, segments
+from bundlelens.functions.ordering import count_before, quantile_deciles
+from bundlelens.operators import campaigns, deciles, filters, quarters, segments, states
 from bundlelens.sources.households import order_households, stored_households
 from conftest import SF001
 
@@ -42,6 +42,13 @@ def test_cohort_quarters_prune_folders(fact):
     assert "PartitionFilters: [quarter" in planned(quarters.cohort_groups_mean(fact))
 
 
+def test_two_sided_reports_still_scan_once(fact):
+    rows = quantile_deciles(fact, "propensity_score")
+    for df in (quarters.channel_quarter_grid(fact), deciles.decile_profile(rows), deciles.lift_table(rows),
+               states.state_vs_portfolio(fact), quarters.yoy_channel(fact)):
+        assert planned(df).count("FileScan") == 1
+
+
 def test_one_scan_and_one_small_shuffle_per_grouped_report(fact):
     plan = planned(quarters.quarter_vs_target(fact))
     assert plan.count("FileScan") == 1 and "partial_sum" in plan
