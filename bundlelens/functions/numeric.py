@@ -71,6 +71,12 @@ def rank_label(position) -> Column:
             .otherwise(F.concat(p.cast("string"), F.lit("th"))))
 
 
+def padded(number, width: int) -> Column:
+    """Number as text with leading zeros; a number wider than ``width`` keeps all its digits."""
+    text = _col(number).cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def key_hash(key) -> Column:
     """Non-negative number below 2**32 from a string key, the same in every run."""
     return F.conv(F.substring(F.md5(_col(key)), 1, 8), 16, 10).cast("bigint")

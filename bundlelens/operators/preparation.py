@@ -49,7 +49,7 @@ def assign_agents(df: DataFrame, pools: Mapping[str, tuple[str, int]] = S.AGENT_
     prefix = lookup("agency_channel", {c: p for c, (p, _) in pools.items()})
     size = lookup("agency_channel", {c: n for c, (_, n) in pools.items()})
     number = F.pmod(num.key_hash(key), size) + 1
-    return df.withColumn("agent_id", F.concat(prefix, F.lit("-"), F.lpad(number.cast("string"), 4, "0")))
+    return df.withColumn("agent_id", F.concat(prefix, F.lit("-"), num.padded(number, 4)))
 
 
 # Lower bounds of the propensity tiers.

@@ -18,7 +18,7 @@ select household_id,snapshot_date,state,age_of_primary,home_ownership,household_
  case agency_channel when 'Independent Agent' then 'IA-' when 'Captive Agent' then 'CA-' when 'Call Center' then 'CC-' else 'DO-' end||lpad(cast(1+(ok*13+ck)%(case agency_channel when 'Independent Agent' then 8 when 'Captive Agent' then 4 when 'Call Center' then 6 else 3 end) as varchar(20)),4,'0') agent_id
  from (select *, least(990,greatest(10,cast(floor(cast(1000 as double)/(cast(1 as double)+exp(-lo))+cast(0.5 as double)) as bigint))) ps, cast(pc as double)/cast(100 as double) annual_premium_anchor, floor(cast((pc+100*case when home_ownership='Homeowner' then 900+(ok*17)%901 else 400+(ok*17)%501 end)*least(96,greatest(12,tenure_months+12+ok%48))*18 as double)/cast(1200 as double))/cast(100 as double) projected_mphh_cltv from (select *, cast(case policy_tier when 'Basic' then 68 when 'Standard' then 92 when 'Plus' then 125 else 175 end*(850+(ok*31)%351) as bigint) pc,
  {LO} lo from (
-select 'HH-'||lpad(cast(o_orderkey as varchar(20)),7,'0') household_id,
+select 'HH-'||lpad(cast(o_orderkey as varchar(20)),greatest(7,length(cast(o_orderkey as varchar(20))))::int,'0') household_id,
  cast(date '2023-01-01' + cast(date_diff('day', date '1995-01-01', cast(o_orderdate as date)) % 1095 as int) as date) snapshot_date,
  case c_nationkey%10 when 0 then 'OH' when 1 then 'TX' when 2 then 'FL' when 3 then 'CA' when 4 then 'PA' when 5 then 'IL' when 6 then 'GA' when 7 then 'NC' when 8 then 'MI' else 'AZ' end state,
  cast(22+o_custkey%56 as int) age_of_primary,

@@ -6,6 +6,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bundlelens import schema as S
+from bundlelens.functions import numeric as num
 from bundlelens.functions.mapping import lookup
 from bundlelens.operators.preparation import (add_log_odds, add_propensity_tier, add_quarter_year,
                                               add_region, add_target, score_tenths)
@@ -58,7 +59,7 @@ def order_households(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) % 1095
     facts = base.select(
         ok.alias("ok"), ck.alias("ck"),
-        F.concat(F.lit("HH-"), F.lpad(ok.cast("string"), 7, "0")).alias("household_id"),
+        F.concat(F.lit("HH-"), num.padded(ok, 7)).alias("household_id"),
         F.date_add(F.lit("2023-01-01").cast("date"), day.cast("int")).alias("snapshot_date"),
         _at(_STATES, F.col("c_nationkey") % 10).alias("state"),
         (22 + ck % 56).cast("int").alias("age_of_primary"),
@@ -92,7 +93,7 @@ def order_households(spark: SparkSession, sf_dir: str) -> DataFrame:
                   "propensity_score": F.col("_tenths").cast("double") / 10.0,
                   "converted_mphh": _flag((ok * 7919 + ck * 104729) % 1000 < F.col("_tenths")).cast("int"),
                   "agent_id": F.concat(lookup("agency_channel", _PREFIX),
-                                       F.lpad((1 + (ok * 13 + ck) % lookup("agency_channel", _AGENTS)).cast("string"), 4, "0")),
+                                       num.padded(1 + (ok * 13 + ck) % lookup("agency_channel", _AGENTS), 4)),
               }))
     full = add_target(add_quarter_year(add_region(add_propensity_tier(valued))))
     return full.select(*S.BENCHMARK_COLUMNS, "year")

@@ -20,6 +20,11 @@ def test_money_is_exact_in_any_order(spark):
     assert row.s == 100.0 and row.m == 0.1
 
 
+def test_padding_never_cuts_digits(spark):
+    df = spark.createDataFrame([(7,), (1234567,), (12345678901,)], "n bigint")
+    assert [r[0] for r in df.select(num.padded("n", 7)).collect()] == ["0000007", "1234567", "12345678901"]
+
+
 def test_ratio_without_denominator_is_null(spark):
     assert spark.range(0).agg(num.pct(F.sum("id"), num.rows()).alias("p")).first().p is None
 
