@@ -5,6 +5,7 @@ from threading import Lock
 from typing import NamedTuple
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -106,7 +107,11 @@ def fitted(spark: SparkSession, sf_dir: str) -> Fitted:
 
 
 def scored_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_snapshot(spark, fitted(spark, sf_dir).scored, SCORED_SCHEMA)
+    try:
+        return read_snapshot(spark, fitted(spark, sf_dir).scored, SCORED_SCHEMA)
+    except AnalysisException:      # the shared folder was cleared meanwhile: fit and score again
+        _fitted.pop((spark.sparkContext.applicationId, sf_dir), None)
+        return read_snapshot(spark, fitted(spark, sf_dir).scored, SCORED_SCHEMA)
 
 
 def _model_deciled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from threading import Lock
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bundlelens import schema as S
@@ -108,10 +109,15 @@ def stored_households(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view above as a table: built on first use in a session, then read by every query.
 
     The joins and the wide derivation run once instead of once per query. The table lies in the shared
-    folder in one folder per quarter, so queries read their columns, and their quarters, only.
+    folder in one folder per quarter, so queries read their columns, and their quarters, only. The order
+    tables are taken not to change during the session.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     with _storing:
-        if key not in _stored:
-            _stored[key] = write_snapshot(order_households(spark, sf_dir), f"{shared_dir(spark)}/fact/{uuid4().hex}", by="quarter")
-    return read_snapshot(spark, _stored[key], STORED_SCHEMA)
+        if key in _stored:
+            try:
+                return read_snapshot(spark, _stored[key], STORED_SCHEMA)
+            except AnalysisException:      # the shared folder was cleared meanwhile: build again
+                pass
+        _stored[key] = write_snapshot(order_households(spark, sf_dir), f"{shared_dir(spark)}/fact/{uuid4().hex}", by="quarter")
+        return read_snapshot(spark, _stored[key], STORED_SCHEMA)

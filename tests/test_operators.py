@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from bundlelens import schema as S
 from bundlelens.operators import agents, campaigns, filters, funnel, preparation as prep, propensity, quarters, segments, states
 from bundlelens.plans import registry
+from bundlelens.sources import households
 from bundlelens.sources.households import scan_households, stored_households
 from bundlelens.sources.snapshots import write_profile, write_snapshot
 from bundlelens.session import shared_dir
@@ -38,6 +39,17 @@ def test_profile_as_json(spark, tmp_path):
     assert record["leakage_columns"] == ["propensity_score", "propensity_tier"]
 
 
+def test_fact_is_built_once_and_again_when_its_folder_is_gone(spark, monkeypatch):
+    built = []
+    real = households.write_snapshot
+    monkeypatch.setattr(households, "write_snapshot", lambda *a, **k: built.append(a[1]) or real(*a, **k))
+    monkeypatch.setattr(households, "_stored", {})
+    assert stored_households(spark, SF001).count() == stored_households(spark, SF001).count() == 1500
+    assert len(built) == 1
+    households._stored[next(iter(households._stored))] += "-gone"
+    assert stored_households(spark, SF001).count() == 1500 and len(built) == 2
+
+
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
