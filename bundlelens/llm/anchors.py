@@ -8,9 +8,10 @@ that repeats is seen by comparing the surroundings of anchors that share what fo
    counted; those that occur once are dropped. Only counts are shuffled for them.
 2. Surroundings (all windows of an anchor) that are equal as a whole are repeated as a whole. One of each different
    kind is fetched from its text for groups that hold several kinds.
-3. A group of up to ``max_group`` kinds is compared in one task by the operator's own method. A larger one is split:
-   its windows' range is halved, which makes the shared part longer, parts found once are dropped, and so on until
-   groups fit or a single window is left, which is then repeated by its count alone. Nothing is cut off.
+3. A group of up to ``max_group`` kinds is compared in one task by the operator's own method. A larger one isn't: its range of
+   windows is halved, which makes the part longer that all windows of a half share, kinds equal on a half become one, and
+   halves found once are dropped. So the inside of a passage that very many documents share is one kind after a few steps, and groups fall
+   apart until each fits. Nothing is cut off.
 4. Covered windows go back to all anchors of their kind and become spans of their documents.
 """
 
@@ -30,12 +31,15 @@ RUN = 8
 
 @dataclass(frozen=True)
 class Windows:
-    """``words``: units are words, else bytes. ``length`` units make a window, whose anchor is among its first ``reach``."""
+    """``words``: units are words, else bytes. ``length`` units make a window, whose anchor is among its first ``reach``.
+
+    A group of ``max_group`` kinds takes about 3 KB each in the task that compares it.
+    """
 
     words: bool
     length: int
     reach: int
-    max_group: int = 20_000
+    max_group: int = 50_000
 
     def __post_init__(self):
         if not (0 < self.reach and self.reach + RUN - 1 <= self.length):
@@ -121,16 +125,16 @@ def fetch_rows(spec: Windows):
             for text, wanted in zip(utf8(batch.column("text")), batch.column("wanted").to_pylist()):
                 text, starts, _ = spec.units(text)
                 n = len(text) if starts is None else len(starts) - 1
-                yield item_batch([(w["key"], w["ctx"], w["key"], piece(text, starts, w["pos"] - w["most"], min(w["pos"] + spec.length, n)),
-                                   w["most"], w["least"], w["most"], 0, spec.reach - 1, w["size"]) for w in wanted])
+                yield item_batch([(w["key"], w["ctx"], w["n"], piece(text, starts, w["pos"] - w["most"], min(w["pos"] + spec.length, n)),
+                                   w["most"], w["least"], w["most"], 0, spec.reach - 1, w["size"], w["part"]) for w in wanted])
 
     return rows
 
 
-#: An item: its kind, the hash that groups it, its bytes, the units before the anchor, the windows it has, the range of
-#: windows its group is compared on, and how many kinds the group has.
-ITEM = "key long, ctx long, core long, body binary, before int, lo int, hi int, whole_lo int, whole_hi int, size long"
-ITEM_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 5, pa.int64()]
+#: An item: the hash that groups it, its kind, of how many it stands, its units, the units before the anchor, the windows it
+#: has, the range of windows its group is compared on, how many kinds the group has, and (large groups) the part of the rows it is dealt to.
+ITEM = "core long, ctx long, n long, body binary, before int, lo int, hi int, whole_lo int, whole_hi int, size long, part int"
+ITEM_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 5, pa.int64(), pa.int32()]
 ITEM_NAMES = [x.split()[0] for x in ITEM.split(", ")]
 
 
@@ -139,49 +143,63 @@ def item_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def halves(spec: Windows):
-    """Both halves of each item's range of windows, keyed by what all windows of the half share."""
+    """Both halves of each item's range of windows, grouped by what all windows of the half share, cut to what they cover."""
 
     def rows(batches):
         for batch in batches:
             out = []
             for x in batch.to_pylist():
                 text, starts, _ = spec.units(x["body"])
+                n = len(text) if starts is None else len(starts) - 1
                 middle = (x["whole_lo"] + x["whole_hi"]) // 2
-                for lo, hi in ((x["whole_lo"], middle), (middle + 1, x["whole_hi"])):
-                    if max(lo, x["lo"]) <= min(hi, x["hi"]):
-                        shared = piece(text, starts, x["before"] - lo, x["before"] + spec.length - hi)
-                        core = np.uint64(xxhash.xxh3_64_intdigest(shared, (lo << 20 | hi) ^ (x["core"] & 0xFFFFFFFF))).astype(np.int64)
-                        out.append((x["key"], x["ctx"], int(core), x["body"], x["before"], x["lo"], x["hi"], lo, hi, 0))
-            yield item_batch(out)
+                for a, b in ((x["whole_lo"], middle), (middle + 1, x["whole_hi"])):
+                    lo, hi = max(a, x["lo"]), min(b, x["hi"])
+                    if lo <= hi:
+                        shared = piece(text, starts, x["before"] - a, x["before"] + spec.length - b)
+                        body = piece(text, starts, x["before"] - hi, min(n, x["before"] + spec.length - a))
+                        core = xxhash.xxh3_64_intdigest(shared, a << 20 | b) - (1 << 63)
+                        ctx = xxhash.xxh3_64_intdigest(body, lo << 20 | hi) - (1 << 63)
+                        out.append((core, ctx, x["n"], body, hi, lo, hi, a, b, 0, 0, x["core"], x["ctx"]))
+            batch = item_batch([r[:-2] for r in out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r[-2] for r in out], pa.int64()), pa.array([r[-1] for r in out], pa.int64())],
+                                             [*ITEM_NAMES, "whole_core", "whole_ctx"])
 
     return rows
 
 
-def grouped(spec: Windows, method):
-    """Stream items sorted by group through ``method``, several small groups at once, never more than fit."""
+def compared(spec: Windows, method):
+    """Stream items, sorted by group, through ``method``, several small groups at once; items of large groups pass.
 
+    A row is a range of windows found in another kind too (``found``, in ``lo`` and ``hi``) or an item.
+    """
     def rows(batches):
         held: list[dict] = []
-        seen: set[tuple] = set()
+        large: list[dict] = []
+        seen: set[int] = set()
 
-        def done(items):
-            out = [(x["key"], x["ctx"], lo, hi) for x, spans in zip(items, method(spec, items)) for lo, hi in spans]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(
-                [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["key", "ctx", "lo", "hi"])
+        def done():
+            out = [(x["core"], x["ctx"], 0, None, 0, lo, hi, 0, 0, 0, 0) for x, spans in zip(held, method(spec, held)) for lo, hi in spans] if held else []
+            batch = item_batch(out + [tuple(x[c] for c in ITEM_NAMES) for x in large])
+            held.clear()
+            large.clear()
+            return pa.RecordBatch.from_arrays([*batch.columns, batch.column("body").is_null()], [*ITEM_NAMES, "found"])
 
+        core = None
         for batch in batches:
             for x in batch.to_pylist():
-                if held and x["core"] != held[-1]["core"]:
-                    seen = set()
+                if x["core"] != core:
+                    core, seen = x["core"], set()
                     if len(held) >= 2_000:
-                        yield done(held)
-                        held = []
+                        yield done()
+                if x["size"] > spec.max_group:
+                    large.append(x)
+                    if len(large) >= 5_000:
+                        yield done()
                 # Equal rows of the table give the same item twice.
-                if (x["key"], x["ctx"]) not in seen:
-                    seen.add((x["key"], x["ctx"]))
+                elif x["ctx"] not in seen:
+                    seen.add(x["ctx"])
                     held.append(x)
-        if held:
-            yield done(held)
+        yield done()
 
     return rows
 
@@ -195,34 +213,33 @@ def repeated_spans(docs: DataFrame, spec: Windows, method) -> DataFrame:
     kind = id_type(docs)
     anchors = hold(docs.select("id", "th", "text").mapInArrow(
         anchor_rows(spec), f"id {kind}, th long, pos int, key long, ctx long, least int, most int"))
-    often = anchors.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    often = hold(anchors.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
     again = hold(anchors.join(often, "key"))
     kinds = again.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos", "least", "most")).alias("one"))
     kinds = hold(kinds)
-    several = kinds.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    open_ = kinds.join(several, "key")
-    wanted = open_.groupBy(F.col("one.id").alias("id"), F.col("one.th").alias("th")).agg(F.collect_list(F.struct(
-        "key", "ctx", "size", "one.pos", "one.least", "one.most")).alias("wanted"))
-    items = docs.select("id", "th", "text").join(wanted, same_row(docs, wanted)).select("text", "wanted")
-    items = items.mapInArrow(fetch_rows(spec), ITEM)
-    covered, large = [], not several.filter(F.col("size") > spec.max_group).isEmpty()
+    several = hold(kinds.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    part = F.pmod(F.xxhash64("ctx", "key"), F.ceil(F.col("size") / spec.max_group)).cast("int").alias("part")
+    wanted = kinds.join(several, "key").groupBy(F.col("one.id").alias("id"), F.col("one.th").alias("th")).agg(F.collect_list(F.struct(
+        "key", "ctx", "n", "size", part, "one.pos", "one.least", "one.most")).alias("wanted"))
+    items = docs.select("id", "th", "text").join(wanted, same_row(docs, wanted)).select("text", "wanted").mapInArrow(fetch_rows(spec), ITEM)
+    levels = []
     while True:
-        if large:
-            items = hold(items.dropDuplicates(["core", "key", "ctx"]))
-        single, fits = F.col("whole_lo") == F.col("whole_hi"), F.col("size") <= spec.max_group
-        compared = items.filter(fits & ~single).repartition("core").sortWithinPartitions("core")
-        covered.append(compared.mapInArrow(grouped(spec, method), "key long, ctx long, lo int, hi int"))
-        if not large:
+        out = hold(items.repartition("core", "part").sortWithinPartitions("core", "part").mapInArrow(compared(spec, method), f"{ITEM}, found boolean"))
+        found = out.filter("found").select("core", "ctx", "lo", "hi")
+        if levels:
+            found = found.unionByName(items.filter("n > 1").select("core", "ctx", "lo", "hi"))
+        large = out.filter("not found")
+        if large.isEmpty():
             break
-        covered.append(items.filter(single).select("key", "ctx", F.col("whole_lo").alias("lo"), F.col("whole_hi").alias("hi")))
-        parts = hold(items.filter(~fits & ~single).mapInArrow(halves(spec), ITEM))
-        sizes = parts.groupBy("core").agg(F.count("*").alias("size")).filter("size > 1")
-        items = parts.drop("size").join(sizes, "core").select(*ITEM_NAMES)
-        large = not sizes.isEmpty()
-    found = covered[0]
-    for x in covered[1:]:
-        found = found.unionByName(x)
-    found = found.groupBy("key", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+        parts = hold(large.dropDuplicates(["core", "ctx"]).mapInArrow(halves(spec), f"{ITEM}, whole_core long, whole_ctx long"))
+        one = parts.groupBy("core", "ctx").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ITEM_NAMES[3:9]))
+        sizes = hold(one.groupBy("core").agg(F.count("*").alias("size"), F.sum("n").alias("all")).filter("all > 1").drop("all"))
+        levels.append((found, parts.select("core", "ctx", "whole_core", "whole_ctx")))
+        part = F.pmod(F.xxhash64("ctx", "core"), F.ceil(F.col("size") / spec.max_group)).cast("int").alias("part")
+        items = hold(one.join(sizes, "core").withColumn("part", part).select(*ITEM_NAMES))
+    for upper, parts in reversed(levels):
+        found = upper.unionByName(found.join(parts, ["core", "ctx"]).select(F.col("whole_core").alias("core"), F.col("whole_ctx").alias("ctx"), "lo", "hi"))
+    found = found.groupBy(F.col("core").alias("key"), "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     known = kinds.select("key", "ctx", "n").join(found, ["key", "ctx"], "left").filter("n > 1 or ranges is not null")
     whole = F.array(F.struct(F.col("least").alias("lo"), F.col("most").alias("hi")))
     spans = again.join(known, ["key", "ctx"]).select("id", "th", "pos", F.inline(F.when(F.col("n") > 1, whole).otherwise(F.col("ranges"))))

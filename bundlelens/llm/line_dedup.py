@@ -55,7 +55,7 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
     keys = F.array(*(F.xxhash64(F.lit(i), f"m{2 * i}", f"m{2 * i + 1}") for i in range(bands)))
     signs = hold(signs.select("h", "n", keys.alias("keys")))
     banded = signs.select("h", F.explode("keys").alias("b"))
-    often = banded.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1")
+    often = hold(banded.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1"))
     members = hold(banded.join(often, "b"))
     weights = members.select("h").distinct().join(signs.select("h", "n"), "h")
     hubs = members.join(weights, "h").groupBy("b").agg(F.max(F.struct("n", "h")).getField("h").alias("hub"))

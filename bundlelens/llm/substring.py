@@ -56,7 +56,7 @@ def deep_nodes(spec: Windows, items: list[dict]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def remove_repeats(df: DataFrame, min_words: int = 35, reach: int | None = None, max_group: int = 20_000,
+def remove_repeats(df: DataFrame, min_words: int = 35, reach: int | None = None, max_group: int = 50_000,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id``, ``th``, ``spans`` (removed word ranges, merged), ``n_words``, ``n_removed``, ``kept`` (words joined by blanks).
 

@@ -113,7 +113,7 @@ def expand_intervals(spec: Windows, items: list[dict]) -> list[list[tuple[int, i
     return out
 
 
-def remove_repeats(df: DataFrame, min_bytes: int = 400, reach: int | None = None, max_group: int = 20_000,
+def remove_repeats(df: DataFrame, min_bytes: int = 400, reach: int | None = None, max_group: int = 50_000,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id``, ``th``, ``spans`` (removed byte ranges, merged), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept``.
 

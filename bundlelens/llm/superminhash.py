@@ -166,7 +166,7 @@ def near_duplicates(df: DataFrame, words: int = 4, percent: int = 80, block: int
     classes = hold(some.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("one"),
                                          F.min("bands").alias("bands")))
     bands = classes.select("c", "n", F.explode("bands").alias("b"))
-    shared = bands.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = hold(bands.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1"))
     members = hold(bands.join(shared, "b"))
     hubs = members.groupBy("b").agg(F.max(F.struct("n", "c")).getField("c").alias("pivot"))
     pairs = hold(members.join(hubs, "b").filter("c <> pivot").select("pivot", "c").distinct())

@@ -39,7 +39,7 @@ def test_query_larger(spark, query, cols, plain):
     assert rows_of(query(spark, SF01), *cols) == sorted(plain(table_rows(spark, SF01)), key=repr)
 
 
-@pytest.mark.parametrize("max_group", [1, 3, 20_000])
+@pytest.mark.parametrize("max_group", [1, 3, 50_000])
 @pytest.mark.parametrize("length, reach", [(40, 25), (20, 1), (400, 255)])
 def test_bytes(documents, tricky, length, reach, max_group):
     rows = tricky * 2 if length == 40 else tricky
@@ -47,7 +47,7 @@ def test_bytes(documents, tricky, length, reach, max_group):
     assert rows_of(out, "id", *OP1[1:]) == sorted(brute.op1(rows, length), key=repr)
 
 
-@pytest.mark.parametrize("max_group", [1, 3, 20_000])
+@pytest.mark.parametrize("max_group", [1, 3, 50_000])
 @pytest.mark.parametrize("length", [8, 9, 12, 35])
 def test_words(documents, tricky, length, max_group):
     rows = tricky * 2 if length == 12 else tricky
