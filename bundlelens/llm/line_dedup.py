@@ -3,7 +3,8 @@
 Lines are compared by the ``width``-character shingles that begin at their words. A signature of ``2 * bands`` least hashes per line is
 made where the lines are read, grouped by the line's hash and combined before the shuffle, so texts of lines aren't
 shuffled for it. Lines that share a band (two least hashes) are compared with the commonest of them; lines then left in
-another component than it are compared with the rest of their bucket. Similarity is exact, on all shingles; components are
+another component than it are compared with the rest of their bucket, where bitmaps of the shingles rule out pairs that cannot be
+alike within the join. Similarity is exact, on all shingles; components are
 found by distributed union-find.
 """
 
@@ -35,6 +36,27 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     return both.filter(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("a", "b")
 
 
+#: A set's bitmap has so many words of 64 bits.
+WORDS = 8
+
+
+def bitmaps(texts: DataFrame, width: int) -> DataFrame:
+    """``h``, ``m`` (number of shingles) and a bitmap of them in ``w0``, ``w1``, ..."""
+    sets = texts.select("h", F.array_distinct(F.transform(shingles(F.col("norm"), width), lambda x: F.xxhash64(x))).alias("s"))
+
+    def word(k: int) -> Column:
+        own = F.filter("s", lambda x: F.shiftrightunsigned(x, 61) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return sets.select("h", F.size("s").alias("m"), *(word(k).alias(f"w{k}") for k in range(WORDS)))
+
+
+def may_be_alike(a: str, b: str, percent: int) -> Column:
+    """False only for pairs below ``percent``: bits that differ are fewer than shingles that differ, of which a similar pair has few."""
+    differ = sum((F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{a}w0").bitwiseXOR(F.col(f"{b}w0"))))
+    return differ * (100 + percent) <= (F.col(f"{a}m") + F.col(f"{b}m")) * (100 - percent)
+
+
 def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int = 8, percent: int = 80, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """Per line ``id``, ``th``, ``line_no``, ``first_id``, ``first_line`` (the line of its component that stays) and ``kept``.
@@ -62,15 +84,20 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
     members = hold(members.join(hubs, "b"))
     texts = lines.filter("long").select("h", "norm").join(weights.select("h"), "h").dropDuplicates(["h"])
     texts = hold(texts)
+    bits = hold(bitmaps(texts, width))
     tried = members.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
     links = hold(alike(tried, texts, width, percent))
     linked = components(links)
     named = linked.select(F.col("node").alias("h"), F.col("component").alias("c"))
     placed = members.filter("size > 2").join(named, "h", "left").withColumn("c", F.coalesce("c", "h"))
     center = placed.filter("h = hub").select("b", F.col("c").alias("center"))
-    placed = hold(placed.join(center, "b"))
-    outside = placed.filter("c <> center").select("b", F.col("h").alias("o"), F.col("c").alias("oc"))
-    cross = outside.join(placed.filter("h <> hub"), "b").filter("oc <> c and (c = center or o < h)")
+    # Buckets that lie in one component whole need no second look.
+    mixed = placed.groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("b")
+    placed = hold(placed.join(center.join(mixed, "b"), "b").join(bits, "h"))
+    outside = placed.filter("c <> center").select("b", F.col("h").alias("o"), F.col("c").alias("oc"), F.col("m").alias("om"),
+                                                  *(F.col(f"w{k}").alias(f"ow{k}") for k in range(WORDS)))
+    cross = outside.join(placed.filter("h <> hub"), (outside["b"] == placed["b"]) & (F.col("oc") != F.col("c"))
+                         & ((F.col("c") == F.col("center")) | (F.col("o") < F.col("h"))) & may_be_alike("o", "", percent))
     more = hold(alike(cross.select(F.col("o").alias("a"), F.col("h").alias("b")).distinct(), texts, width, percent))
     if not more.isEmpty():
         linked = components(links.unionByName(more))

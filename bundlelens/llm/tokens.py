@@ -16,7 +16,7 @@ class Encoder:
     and to fewer different words. That holds for lower-casing tokenizers that drop blanks, which the constructor checks.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

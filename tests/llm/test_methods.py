@@ -1,0 +1,169 @@
+"""Operators that no fixed rule describes whole: by brute force of their rules, round trips and held-out accuracy."""
+
+import re
+from collections import Counter, defaultdict
+
+import brute
+import corpus_pipeline
+import numpy as np
+import pytest
+from cases import documents, tricky  # noqa: F401
+from pyspark.sql import functions as F
+
+from bundlelens.llm import decontaminate, gam, line_dedup, quality_rules, surrogates
+from bundlelens.llm import queries as Q
+
+SF01 = "/root/testdata/sf0.01"
+
+
+def plain_lines(rows, min_chars=24, width=12, percent=80):
+    lines = [(i, k, x.strip(" \t\n\x0b\f\r").lower()) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
+    sets = [{m[1] for m in re.finditer(rf"(?<![^ ])(?=([^ ].{{{width - 1}}}))", x)} if len(x) >= min_chars else set() for _, _, x in lines]
+    first, links = {}, list(brute.similar(sets, percent))
+    for k, (_, _, x) in enumerate(lines):
+        if len(x) >= min_chars:
+            links.append((k, first.setdefault(x, k)))
+    root = brute.groups(len(lines), links)
+    least = {}
+    for (i, k, _), r in zip(lines, root):
+        least[r] = min((i, k), least.get(r, (i, k)))
+    return sorted((i, k, *least[r], (i, k) == least[r]) for (i, k, _), r in zip(lines, root))
+
+
+def marked(df):
+    return sorted(tuple(r) for r in df.select("id", "line_no", "first_id", "first_line", "kept").collect())
+
+
+def test_lines(documents, tricky):
+    base = " ".join(f"word{i}" for i in range(60))
+    variants = []
+    for k in range(40):
+        words = base.split()
+        for j in range(k % 9):
+            words[(7 * j + k) % 60] = f"other{k}{j}"
+        variants.append((100 + k, "Short line\n" + " ".join(words).upper() + " \nthe end"))
+    rows = tricky + variants
+    assert marked(line_dedup.mark_lines(documents(rows))) == plain_lines(rows)
+
+
+def test_lines_of_the_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()]
+    out = Q.op4(spark, SF01).withColumnRenamed("doc_id", "id")
+    assert marked(out) == plain_lines(rows)
+
+
+def test_line_texts(documents):
+    rows = [(2, "a line that two documents share here\nand one of its own, long as well"), (1, "A line that two documents share here "), (3, None), (4, "")]
+    out = {r.doc_id: r.text for r in line_dedup.deduplicate(documents(rows)).collect()}
+    assert out == {1: rows[1][1], 2: "and one of its own, long as well", 3: None, 4: ""}
+
+
+def test_common_lines(documents):
+    menu = "Home | About us 2024"
+    letters = str.maketrans("0123456789", "abcdefghij")
+    body = lambda k: "\n".join(" ".join(f"w{k}_{j}_{i}".translate(letters) for i in range(20)) for j in range(4))
+    rows = [(k, menu + "\n" + body(k)) for k in range(40)] + [(50 + k, body("copy") + f" x{k}".translate(letters)) for k in range(60)] + [(200, menu.replace("2024", "2025") + " \n" + "x y z " * 3)]
+    out = {r["id"]: r for r in quality_rules.judge(documents(rows), min_line_docs=10).collect()}
+    assert all(out[k]["kept"] and len(out[k]["common"]) == 1 and out[k]["n_line_words"] == 5 for k in range(40))
+    assert all(out[50 + k]["kept"] and not out[50 + k]["common"] for k in range(60)) and not out[200]["kept"]
+    clean = {r.doc_id: r.text for r in quality_rules.clean(documents(rows), min_line_docs=10).collect()}
+    assert clean[3] == body(3) and clean[55] == rows[45][1] and 200 not in clean
+
+
+def test_classifier(spark):
+    out = Q.op5(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    assert ((out.score >= 0.3) == out.predicted).all() and out.score.between(0, 1).all()
+    assert (out.predicted == out.quality).mean() > 0.97
+    good, bad = out.score[out.quality == 1].to_numpy(), out.score[out.quality == 0].to_numpy()
+    assert (good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean() > 0.99
+
+
+def test_classifier_edges(documents, tricky, spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = gam.classify(documents(tricky + [(None, "no id")]), none).collect()
+    assert len(out) == len(tricky) + 1 and {r.score for r in out} == {0.5}
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in tricky] + [(3, None), (4, 7)], "doc_id long, quality int")
+    assert gam.classify(documents(tricky), labels, max_train_rows=8).count() == len(tricky)
+
+
+def test_boosting_learns_a_pair():
+    r = np.random.default_rng(1)
+    x = r.random((4000, len(gam.FEATURES)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.5)).astype(float)
+    model = gam.fit(x, y, rounds=10)
+    assert (0, 3) in model.pairs and ((model.scores(x) > 0.5) == y).mean() > 0.9
+
+
+def test_surrogates(documents, tricky):
+    texts = ["Mail ann.lee@mail1.example.com or +1 (415) 555-0100, again ann.lee@mail1.example.com.", "From 10.0.0.1, card 4111 1111 1111 1111 and 4111111111111111.",
+             'token = "0123456789abcdef0123456789abcdef01234567" for Frau Anna Schmidt and Mr. Jones', "+1 (415) 555-0101 12345 1.2 word@ @word", "no data"]
+    rows = list(enumerate(texts)) + [(9, texts[0])] + [(20 + i, t) for i, t in tricky]
+    out = {r["id"]: r for r in surrogates.replace(documents(rows), "k").collect()}
+    assert out[0].text == out[9].text and out[0].n_entities == 3 and out[4].text == texts[4]
+    new = re.findall(r"\S+@\S+(?=[ .])", out[0].text)
+    assert new[0].rstrip(".") == new[1].rstrip(".") != "ann.lee@mail1.example.com" and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[0].text)
+    assert re.search(r"card 4\d{3} \d{4} \d{4} \d{4} and 4\d{15}\.", out[1].text) and "10.0.0.1," not in out[1].text
+    assert re.search(r'token = "[0-9a-f]{40}" for Frau (\w+) \w+ and Mr\. \w+$', out[2].text)
+    assert re.search(r"for Frau (\w+)", out[2].text)[1] in surrogates.GIVEN["f"]
+    assert "0123456789abcdef" not in out[2].text and "Schmidt" not in out[2].text and out[3].text.endswith(" 12345 1.2 word@ @word")
+    assert all(out[20 + i].text == (t or "") for i, t in tricky)
+
+
+def test_surrogates_stay_distinct(documents):
+    """All numbers of a small domain: most first tries collide with others or with real ones."""
+    rows = [(k, f"card 4111-1111-1111-{k}") for k in range(10)] + [(100 + k, f"call 555-0{k:02d}-0000") for k in range(60)]
+    out = surrogates.replace(documents(rows), "k").collect()
+    values = [r.text for r in out]
+    assert len(set(values)) == len(values) and not set(values) & {t for _, t in rows}
+
+
+def test_leaks(documents, spark):
+    item = "Farmer John has 12 apples and gives 5 kg of them to Mary before noon today"
+    other = item.replace("12", "37").replace("5 kg", "9 lb").replace("John", "Peter").replace("Mary", "Susan")
+    mixed_up = item.replace("Mary", "John")
+    bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, ""), (5, "12 12 and 13 are numbers that 12 people like")], "item_id long, text string")
+    rows = [(1, "Some text before. " + item + " and after."), (2, "So. " + other), (3, item.upper()), (4, item[:30]), (5, None), (6, ""), (7, "A short one."),
+            (8, "40 40 and 50 are numbers that 40 people like"), (9, "40 41 and 50 are numbers that 42 people like"), (10, "words " * 5000 + item), (11, "unrelated text of some words")]
+    for size in (20_000, 1):
+        out = {r["id"]: r["items"] for r in decontaminate.find_leaks(documents(rows), bench, block_items=size).collect()}
+        assert out == {1: [1], 2: [1], 3: [1], 4: [], 5: [], 6: [], 7: [2], 8: [5], 9: [], 10: [1], 11: []}
+    assert mixed_up != item
+
+
+def test_leaks_of_the_table(spark):
+    """Every document that holds an item word for word is found, and none that shares less than half of any item's runs."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").collect()
+    items = [re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{SF01}/benchmark.parquet").collect()]
+    runs = defaultdict(set)
+    for i, w in enumerate(items):
+        for k in range(len(w) - 4):
+            runs[tuple(w[k : k + 5])].add((i, k))
+    found = {r.doc_id: r.contaminated for r in Q.op9(spark, SF01).collect()}
+    for d in docs:
+        w = re.findall(r"\w+", d.text.lower())
+        hits = Counter(i for i, _ in {x for k in range(len(w) - 4) for x in runs.get(tuple(w[k : k + 5]), ())})
+        share = max((n / (len(items[i]) - 4) for i, n in hits.items()), default=0)
+        assert found[d.doc_id] if share == 1 else not found[d.doc_id] if share < 0.5 else True
+
+
+def test_pipeline(spark):
+    """Each stage against what its input says: rejected rows gone, one of each group, no leaks, every kept text packed."""
+    docs, seen = spark.read.parquet(f"{SF01}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF01)
+        if name != "packing":
+            assert out.columns == docs.columns
+            out = spark.createDataFrame(out.toPandas(), out.schema)
+        seen[name], docs = {r["doc_id"]: r for r in out.collect()}, out
+    texts = [(i, r.text) for i, r in sorted(seen["line dedup"].items())]
+    kept = {i for i, _, least, k in brute.op6(texts, 5) if k}
+    assert set(seen["near-duplicates"]) == kept
+    assert set(seen["decontamination"]) <= kept and set(seen["packing"]) == set(seen["decontamination"])
+
+
+def test_empty(documents, spark):
+    none, bench = documents([(1, "x")]).filter("doc_id = 2"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out in (line_dedup.mark_lines(none), line_dedup.deduplicate(none), gam.classify(none, labels), surrogates.replace(none, "k"),
+                decontaminate.find_leaks(none, bench), decontaminate.find_leaks(documents([(1, "x")]), bench.filter("item_id = 2")).filter("contaminated")):
+        assert out.isEmpty()
