@@ -42,13 +42,17 @@ def mean(c) -> Column:
 
 
 def scaled_sum(c, scale: int) -> Column:
-    """Sum of a decimal-valued double as whole units of 1/scale: exact, order-free and mutable in place."""
+    """Sum of a value that was rounded to 1/scale before, as whole units of it: exact and order-free."""
     return F.sum(F.floor(_col(c) * float(scale) + 0.5))
 
 
+def exact_sum(c) -> Column:
+    """Sum of a double as DECIMAL with nine decimals: order-free, no input is rounded to cents or tenths."""
+    return F.sum(_col(c).cast("decimal(28,9)"))
+
+
 def money_sum(c) -> Column:
-    """Sum of dollars kept in whole cents."""
-    return scaled_sum(c, 100).cast(N) / 100.0
+    return exact_sum(c).cast(N)
 
 
 def money_mean(c) -> Column:
@@ -56,8 +60,7 @@ def money_mean(c) -> Column:
 
 
 def score_mean(c) -> Column:
-    """Mean of a score kept in tenths."""
-    return ratio(scaled_sum(c, 10).cast(N) / 10.0, F.count(_col(c)))
+    return ratio(exact_sum(c), F.count(_col(c)))
 
 
 def count_where(cond: Column) -> Column:

@@ -3,7 +3,7 @@
 Everything rests on ``count_before``: rows are first counted per distinct value (combined before the
 shuffle, so a value that holds a third of all rows costs one row per task), then the distinct values
 are cut into slices that follow their order and added up slice by slice. The number of slices has a
-fixed bound, so joining their totals back is a broadcast of bounded size.
+fixed bound, so joining their totals back moves a bounded table.
 
 The functions read their input more than once: give them a table, or ``hold`` the frame first.
 """
@@ -23,13 +23,18 @@ def _slice_of(key: Column) -> Column:
     return F.floor(F.when(key < 0, -size).otherwise(size))
 
 
+def _ranked(value: Column) -> Column:
+    """Null and NaN have no place in an order of scores."""
+    return value.isNotNull() & ~F.isnan(value.cast("double"))
+
+
 def count_before(df: DataFrame, value: str, descending: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
-    """Per distinct non-null value: rows holding it (``n``), rows sorted before it (``before``), all rows (``total``).
+    """Per distinct value that is neither null nor NaN: rows holding it (``n``), rows sorted before it (``before``), all rows (``total``).
 
     With ``within``, each combination of those columns is counted on its own; there must be few of them.
     """
     key = F.col(value).cast("double") * (-1.0 if descending else 1.0)
-    levels = (df.filter(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count(F.lit(1)).alias("n"))
+    levels = (df.filter(_ranked(F.col(value))).groupBy(*within, value).agg(F.count(F.lit(1)).alias("n"))
                 .withColumn("_key", key).withColumn("_slice", _slice_of(F.col("_key"))))
 
     earlier = Window.partitionBy(*within).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,7 +46,7 @@ def count_before(df: DataFrame, value: str, descending: bool = False, within: tu
     # A left join (every slice has its total): an inner one would add a filter to this side only, and the
     # grouped values would then be computed once per side instead of being shared.
     return (levels.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(F.broadcast(slices), [*within, "_slice"], "left")
+            .join(slices, [*within, "_slice"], "left")
             .select(*within, value, "n", (F.col("_start") + F.col("_inside")).alias("before"), "total"))
 
 
@@ -85,7 +90,7 @@ def tile_starts(df: DataFrame, score: str, key: str, tiles: int) -> list[tuple[f
 
 
 def exact_ntile(df: DataFrame, score: str, key: str, tiles: int = 10, name: str = "tile") -> DataFrame:
-    """NTILE(tiles) by descending score; ties are ordered by md5(key), key. A null score has no tile.
+    """NTILE(tiles) by descending score; ties are ordered by md5(key), key. A null or NaN score has no tile.
 
     Once the first row of each tile is known (``tile_starts``), every row finds its tile by comparing itself
     with those few rows, so the table is neither sorted nor moved.
@@ -96,7 +101,7 @@ def exact_ntile(df: DataFrame, score: str, key: str, tiles: int = 10, name: str
     tile = sum((r.cast("int") for r in reached), F.lit(1))
     split = [ms for ms, mt, _ in marks if mt]
     tie = F.when(s.isin(split), F.md5(k)).otherwise("") if split else F.lit("")
-    return (df.withColumn("_tie", tie).withColumn(name, F.when(s.isNotNull(), tile).cast("bigint")).drop("_tie"))
+    return (df.withColumn("_tie", tie).withColumn(name, F.when(_ranked(s), tile).cast("bigint")).drop("_tie"))
 
 
 def quantile_edges(df: DataFrame, score: str, bins: int) -> list[float]:
@@ -122,7 +127,7 @@ def quantile_deciles(df: DataFrame, score: str, bins: int = 10, name: str = "dec
     Bins are closed on the right, the first one on both sides: a row's bin is the number of edges below -score.
     """
     below = sum(((F.lit(e) < -F.col(score)).cast("int") for e in quantile_edges(df, score, bins)), F.lit(0))
-    return df.withColumn(name, F.when(F.col(score).isNotNull(), F.greatest(F.lit(1), below)).cast("bigint"))
+    return df.withColumn(name, F.when(_ranked(F.col(score)), F.greatest(F.lit(1), below)).cast("bigint"))
 
 
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "position") -> DataFrame:

@@ -45,14 +45,14 @@ def decile_profile(df: DataFrame, bands: tuple[int, ...] = (1, 2, 3, 10)) -> Dat
     Rows are counted once per (decile, channel, tenure); the overlapping bands are read off those cells.
     """
     cells = (df.groupBy("decile", "agency_channel", "tenure_months")
-             .agg(num.rows().alias("n"), num.scaled_sum("projected_mphh_cltv", 100).alias("cents"),
+             .agg(num.rows().alias("n"), num.exact_sum("projected_mphh_cltv").alias("value"),
                   F.count("projected_mphh_cltv").alias("valued")))
     banded = cells.withColumn("max_decile", F.explode(F.array(*[F.lit(b) for b in bands]))).filter("decile <= max_decile")
     # A channel's rows in the band stand beside each of its cells; ties go to the first channel by name.
     channel_n = F.sum("n").over(Window.partitionBy("max_decile", "agency_channel"))
     return (banded.withColumn("channel_n", channel_n).groupBy("max_decile").agg(
                 F.sum("n").alias("households"),
-                num.ratio(F.sum("cents").cast("double") / 100.0, F.sum("valued")).alias("avg_cltv"),
+                num.ratio(F.sum("value"), F.sum("valued")).alias("avg_cltv"),
                 F.floor(F.percentile("tenure_months", F.lit(0.5), F.col("n"))).alias("median_tenure_months"),
                 F.min_by("agency_channel", F.struct(-F.col("channel_n"), "agency_channel")).alias("top_channel"))
             .orderBy("max_decile"))

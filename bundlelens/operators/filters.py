@@ -31,6 +31,9 @@ def filter_crosssell(df: DataFrame, **choices) -> DataFrame:
 
 
 def filter_benchmark(df: DataFrame, **choices) -> DataFrame:
+    """Rows of the choices; a choice of years also names the quarters, so other quarters' folders are not read."""
+    if choices.get("years") and "quarter" in df.columns:
+        df = df.filter(F.substring("quarter", 1, 4).isin(list(choices["years"])))
     return df.filter(benchmark_predicate(**choices))
 
 

@@ -36,9 +36,9 @@ def unmapped_quarters(df: DataFrame, targets: Mapping[str, float] = S.QUARTER_TA
     return df.filter(lookup("quarter", targets).isNull()).select("quarter").distinct()
 
 
-def mapping_report(df: DataFrame, key: str, mapped: str, missing: str | None = None) -> DataFrame:
-    """Rows per (key, mapped value) and whether the key was found in the map (``missing`` marks one that was not)."""
-    found = F.col(mapped).isNotNull() if missing is None else F.col(mapped) != missing
+def mapping_report(df: DataFrame, key: str, mapped: str, mapping: Mapping) -> DataFrame:
+    """Rows per (key, mapped value) and whether the map has the key."""
+    found = lookup(key, mapping).isNotNull()
     return (df.groupBy(key, mapped).agg(num.rows().alias("households"))
             .select(key, mapped, found.alias("is_mapped"), "households"))
 
@@ -69,17 +69,16 @@ YEARS_CLIP = (1.0, 8.0)
 MARGIN = 0.18
 
 
-def add_projected_cltv(df: DataFrame, key: str = "household_id") -> DataFrame:
+def add_projected_cltv(df: DataFrame, property_premium: Column | None = None, extra_months: Column | None = None) -> DataFrame:
     """Projected value: (premium + property premium) x projected years x margin.
 
-    Where the property premium and the extra months have a range, the point in it comes from a hash of
-    the household key.
+    The yearly property premium and the months beyond today's tenure are given as columns; without them the middle of their
+    range is taken.
     """
-    draw = num.key_hash(key)
-    (lo_h, hi_h), (lo_o, hi_o) = PROPERTY_RANGE["Homeowner"], PROPERTY_RANGE["other"]
-    prop = (F.when(F.col("home_ownership") == "Homeowner", lo_h + draw % (hi_h - lo_h))
-            .otherwise(lo_o + draw % (hi_o - lo_o)))
-    months = F.col("tenure_months") + EXTRA_MONTHS[0] + draw % (EXTRA_MONTHS[1] - EXTRA_MONTHS[0])
+    middle = {k: sum(v) // 2 for k, v in PROPERTY_RANGE.items()}
+    usual = F.when(F.col("home_ownership") == "Homeowner", middle["Homeowner"]).otherwise(middle["other"])
+    prop = usual if property_premium is None else property_premium
+    months = F.col("tenure_months") + (F.lit(sum(EXTRA_MONTHS) // 2) if extra_months is None else extra_months)
     years = F.least(F.greatest(months.cast("double") / 12.0, F.lit(YEARS_CLIP[0])), F.lit(YEARS_CLIP[1]))
     value = (F.col("annual_premium_anchor") + prop.cast("double")) * years * MARGIN
     return df.withColumn("projected_mphh_cltv", num.rnd(value, 2))

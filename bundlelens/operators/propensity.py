@@ -38,14 +38,24 @@ def encode_features(df: DataFrame) -> DataFrame:
 def stratified_split(df: DataFrame, test_share: float = 0.2, seed: int = 42, key: str = "household_id",
                      label: str = S.TARGET) -> DataFrame:
     """Add ``split`` (train or test) by a hash of seed, label and key: repeatable, per stratum, without a shuffle."""
-    spot = num.key_hash(F.concat_ws("-", F.lit(seed), F.col(label), F.col(key))) % 10000
-    return df.withColumn("split", F.when(spot < round(test_share * 10000), "test").otherwise("train"))
+    spot = num.key_hash(F.concat_ws("-", F.lit(seed), F.col(label), F.col(key)))
+    return df.withColumn("split", F.when(spot < int(test_share * 2**32), "test").otherwise("train"))
 
 
 def train_gbt(train: DataFrame, features: list[str] = S.FEATURES, rounds: int = 80, depth: int = 4, rate: float = 0.12,
-              seed: int = 42, checkpoint_every: int = 10) -> PipelineModel:
-    """Fit boosted trees on encoded rows. The assembled frame is held while the rounds reread it, then released."""
+              seed: int = 42, checkpoint_every: int = 10, max_train_rows: int | None = None, key: str = "household_id") -> PipelineModel:
+    """Fit boosted trees on encoded rows. The assembled frame is held while the rounds reread it, then released.
+
+    ``max_train_rows`` bounds the rows held, in expectation: those whose key hashes lowest are used. A feature without a
+    value, such as the code of an unknown label, is named before the fit starts.
+    """
     check_features(features)
+    known = train.agg(num.rows().alias("_rows"), *[F.count(c).alias(c) for c in features]).first()
+    missing = [c for c in features if known[c] < known["_rows"]]
+    if missing:
+        raise ValueError(f"rows without a value, or with an unknown label, in {missing}")
+    if max_train_rows is not None and known["_rows"] > max_train_rows:
+        train = train.filter(num.key_hash(F.concat(F.lit(f"train-{seed}-"), F.col(key))) < int(max_train_rows / known["_rows"] * 2**32))
     shared_dir(train.sparkSession)
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     narrow = assembler.transform(train).select("features", F.col(S.TARGET).cast("double").alias("label"))

@@ -1,6 +1,6 @@
 """Quarters against target, against earlier years, and by tenure cohort."""
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -33,15 +33,14 @@ def target_gap_summary(df: DataFrame) -> DataFrame:
     """Quarters behind and on track by their rounded rates, and the mean, worst and best gap."""
     perf = df.groupBy("quarter").agg(num.pct(num.total(CONVERTED), num.rows()).alias("rate"),
                                      F.min(TARGET_PCT).alias("target"))
-    # Gaps are whole hundredths, so their sum is exact.
-    gap = F.floor((F.col("rate") - F.col("target")) * 100.0 + 0.5)
+    gap = (F.col("rate") - F.col("target")).cast("decimal(28,9)")
     mean_gap = num.ratio(F.sum(gap), F.count("target"))
     return perf.agg(num.rows().alias("total_quarters"),
                     F.count_if(F.col("rate") < F.col("target")).alias("quarters_behind"),
                     F.count_if(F.col("rate") >= F.col("target")).alias("quarters_on_track"),
-                    num.rnd(mean_gap / 100.0).alias("avg_gap_pp"),
-                    (F.min(gap).cast("double") / 100.0).alias("worst_gap_pp"),
-                    (F.max(gap).cast("double") / 100.0).alias("best_gap_pp"))
+                    num.rnd(mean_gap).alias("avg_gap_pp"),
+                    F.min(gap).cast("double").alias("worst_gap_pp"),
+                    F.max(gap).cast("double").alias("best_gap_pp"))
 
 
 def channel_contribution(df: DataFrame) -> DataFrame:
@@ -109,65 +108,78 @@ def channel_quarter_grid(df: DataFrame, spine: Mapping[str, float] = S.QUARTER_T
 
 # ---- against earlier years --------------------------------------------------------------
 
-def _rates_by_year(df: DataFrame, key: Column, year: Column, name: str) -> DataFrame:
-    """One row per key with a rounded rate column per year, in one grouped pass (the years are given)."""
-    hits = num.total(CONVERTED)
-    return (df.groupBy(key.alias(name), year.alias("_year")).agg(num.pct(hits, num.rows()).alias("rate"))
-            .groupBy(name).pivot("_year", S.YEARS).agg(F.max("rate"))
-            .select(name, *[F.col(y).alias(f"rate_{y}") for y in S.YEARS])
-            .filter("rate_2023 IS NOT NULL AND rate_2024 IS NOT NULL")
-            .withColumns({"delta_23_24_pp": num.rnd(F.col("rate_2024") - F.col("rate_2023")),
-                          "delta_24_25_pp": num.rnd(F.col("rate_2025") - F.col("rate_2024")),
-                          "direction_23_24": _trend(F.col("rate_2024"), F.col("rate_2023")),
-                          "direction_24_25": _trend(F.col("rate_2025"), F.col("rate_2024"))}))
+def _pairs(years: Sequence[str]) -> dict[str, tuple[str, str]]:
+    """Each year with the next, by the name that its columns carry (23_24)."""
+    if len(years) < 2:
+        raise ValueError("a comparison takes two years or more")
+    return {f"{a[-2:]}_{b[-2:]}": (f"rate_{a}", f"rate_{b}") for a, b in zip(years, years[1:])}
+
+
+def _rates_by_year(df: DataFrame, key: Column, name: str, years: Sequence[str]) -> DataFrame:
+    """One row per key, with a rate in the first two years, and a rounded rate column per year, in one grouped pass.
+
+    Rows of other years are left out before it, so their folders are not read.
+    """
+    hits, pairs = num.total(CONVERTED), _pairs(years)
+    rated = (df.filter(_quarter_year().isin(list(years))).groupBy(key.alias(name), _quarter_year().alias("_year"))
+             .agg(num.pct(hits, num.rows()).alias("rate")).groupBy(name).pivot("_year", list(years)).agg(F.max("rate"))
+             .select(name, *[F.col(y).alias(f"rate_{y}") for y in years])
+             .filter(F.col(f"rate_{years[0]}").isNotNull() & F.col(f"rate_{years[1]}").isNotNull()))
+    return rated.withColumns({f"delta_{p}_pp": num.rnd(F.col(b) - F.col(a)) for p, (a, b) in pairs.items()}
+                             | {f"direction_{p}": _trend(F.col(b), F.col(a)) for p, (a, b) in pairs.items()})
 
 
 def _quarter_year() -> Column:
     return F.substring("quarter", 1, 4)
 
 
-def yoy_quarter(df: DataFrame) -> DataFrame:
-    return _rates_by_year(df, F.substring("quarter", -2, 2), _quarter_year(), "quarter_label").orderBy("quarter_label")
+def yoy_quarter(df: DataFrame, years: Sequence[str] = S.YEARS) -> DataFrame:
+    return _rates_by_year(df, F.substring("quarter", -2, 2), "quarter_label", years).orderBy("quarter_label")
 
 
-def yoy_channel(df: DataFrame) -> DataFrame:
-    return (_rates_by_year(df, F.col("agency_channel"), _quarter_year(), "agency_channel")
-            .drop("direction_23_24").orderBy(F.col("delta_24_25_pp").desc_nulls_last(), "agency_channel"))
+def yoy_channel(df: DataFrame, years: Sequence[str] = S.YEARS) -> DataFrame:
+    *earlier, last = _pairs(years)
+    return (_rates_by_year(df, F.col("agency_channel"), "agency_channel", years).drop(*[f"direction_{p}" for p in earlier])
+            .orderBy(F.col(f"delta_{last}_pp").desc_nulls_last(), "agency_channel"))
 
 
-def yoy_cltv(df: DataFrame) -> DataFrame:
-    year = F.when(_quarter_year().isin(S.YEARS), _quarter_year())
+def yoy_cltv(df: DataFrame, years: Sequence[str] = S.YEARS) -> DataFrame:
+    """Value per year; rows of years not given are one group without a year."""
+    year = F.when(_quarter_year().isin(list(years)), _quarter_year())
     return (df.groupBy(year.alias("year")).agg(num.rows().alias("total_households"), *averages(cltv="avg_cltv"),
                                                num.rnd(num.money_sum(CLTV) / MILLION).alias("total_cltv_M"))
             .orderBy("year"))
 
 
-def yoy_table(df: DataFrame) -> DataFrame:
-    """Q1..Q4 rates of the three years and their differences; a missing quarter stays null."""
+def yoy_table(df: DataFrame, spine: Mapping[str, float] = S.QUARTER_TARGETS, years: Sequence[str] = S.YEARS) -> DataFrame:
+    """Q1..Q4 rates of the years and their differences; a missing quarter stays null."""
     rate_in = lambda y: F.max(F.when(_quarter_year() == y, F.col("rate_pct"))).alias(f"rate_{y}")
-    return (quarter_summary(df).groupBy(F.substring("quarter", -2, 2).alias("label")).agg(*[rate_in(y) for y in S.YEARS])
-            .withColumns({"delta_23_24": F.col("rate_2024") - F.col("rate_2023"),
-                          "delta_24_25": F.col("rate_2025") - F.col("rate_2024")})
+    return (quarter_summary(df, spine).groupBy(F.substring("quarter", -2, 2).alias("label")).agg(*[rate_in(y) for y in years])
+            .withColumns({f"delta_{p}": F.col(b) - F.col(a) for p, (a, b) in _pairs(years).items()})
             .orderBy("label"))
 
 
-def yoy_summary(table: DataFrame) -> DataFrame:
+def yoy_summary(table: DataFrame, years: Sequence[str] = S.YEARS) -> DataFrame:
     """From ``yoy_table``: mean difference, quarters compared and quarters improved, per pair of years."""
-    pair = lambda name, c: F.struct(F.lit(name).alias("years"), F.col(c).alias("delta"))
-    return (table.select(F.inline(F.array(pair("2023-2024", "delta_23_24"), pair("2024-2025", "delta_24_25"))))
+    pairs = [F.struct(F.lit(f"{a[5:]}-{b[5:]}").alias("years"), F.col(f"delta_{p}").alias("delta")) for p, (a, b) in _pairs(years).items()]
+    return (table.select(F.inline(F.array(*pairs)))
             .groupBy("years").agg(num.rnd(F.coalesce(F.avg("delta"), F.lit(0.0)), 6).alias("avg_delta_pp"),
                                   F.count("delta").alias("quarters_compared"),
                                   F.count_if(F.col("delta") > 0).alias("quarters_improved"))
             .orderBy("years"))
 
 
-def channel_year_pivot(df: DataFrame) -> DataFrame:
-    """Channel rates by year, unrounded, sorted by the latest difference that can be taken."""
-    delta = lambda a, b: F.col(f"rate_{b}") - F.col(f"rate_{a}")
-    return (df.groupBy("agency_channel").pivot("year", S.YEARS).agg(num.ratio(num.total(CONVERTED), num.rows()) * 100.0)
-            .select("agency_channel", *[F.col(y).alias(f"rate_{y}") for y in S.YEARS])
-            .withColumns({"delta_23_24": delta("2023", "2024"), "delta_24_25": delta("2024", "2025")})
-            .withColumn("sort_delta", F.coalesce("delta_24_25", "delta_23_24"))
+def channel_year_pivot(df: DataFrame, years: Sequence[str] = S.YEARS) -> DataFrame:
+    """Channel rates by year, unrounded, sorted by the latest pair of years whose later year any channel has."""
+    pairs = _pairs(years)
+    seen = lambda p: F.max(pairs[p][1]).over(over_all()).isNotNull()
+    # A struct keeps a channel's missing difference from falling through to an earlier pair.
+    sort_delta = F.coalesce(*[F.when(seen(p), F.struct(F.col(f"delta_{p}").alias("d"))) for p in reversed(list(pairs))])["d"]
+    return (df.filter(F.col("year").isin(list(years))).groupBy("agency_channel").pivot("year", list(years))
+            .agg(num.ratio(num.total(CONVERTED), num.rows()) * 100.0)
+            .select("agency_channel", *[F.col(y).alias(f"rate_{y}") for y in years])
+            .withColumns({f"delta_{p}": F.col(b) - F.col(a) for p, (a, b) in pairs.items()})
+            .withColumn("sort_delta", sort_delta)
             .orderBy(F.col("sort_delta").desc_nulls_last(), "agency_channel"))
 
 
@@ -195,36 +207,36 @@ def long_tenure_trend(df: DataFrame, min_tenure: int = 60) -> DataFrame:
             .agg(*volume(n="households_60plus_months")).orderBy("acquisition_quarter"))
 
 
-def cohort_groups_pooled(df: DataFrame) -> DataFrame:
-    grouped = df.filter(F.col("quarter").isin(list(S.COHORT_GROUPS))).withColumn("cohort_group", lookup("quarter", S.COHORT_GROUPS))
+def cohort_groups_pooled(df: DataFrame, cohort_groups: Mapping[str, str] = S.COHORT_GROUPS) -> DataFrame:
+    grouped = df.filter(F.col("quarter").isin(list(cohort_groups))).withColumn("cohort_group", lookup("quarter", cohort_groups))
     return (add_tenure_bucket(grouped, "case").groupBy("tenure_bucket", "cohort_group").agg(*volume())
             .orderBy("tenure_bucket", "cohort_group"))
 
 
-def _cohort_cells(df: DataFrame) -> DataFrame:
-    """Rate per quarter of the spine and half-open tenure bucket: the cells of the cohort matrix."""
-    return (add_tenure_bucket(df.filter(F.col("quarter").isin(S.QUARTERS)), "cut").filter(F.col("bucket_ord").isNotNull())
+def _cohort_cells(df: DataFrame, quarters: Iterable[str]) -> DataFrame:
+    """Rate per given quarter and half-open tenure bucket: the cells of the cohort matrix."""
+    return (add_tenure_bucket(df.filter(F.col("quarter").isin(list(quarters))), "cut").filter(F.col("bucket_ord").isNotNull())
             .groupBy("quarter", "bucket_ord", "tenure_bucket")
             .agg((num.ratio(num.total(CONVERTED), num.rows()) * 100.0).alias("rate_pct")))
 
 
-def cohort_matrix(df: DataFrame) -> DataFrame:
+def cohort_matrix(df: DataFrame, spine: Mapping[str, float] = S.QUARTER_TARGETS) -> DataFrame:
     """Quarters of the spine down, tenure buckets across; empty cells are null."""
-    wide = _cohort_cells(df).groupBy("quarter").pivot("tenure_bucket", S.TENURE_MO).agg(F.max("rate_pct"))
-    return quarter_spine(df.sparkSession).select("quarter").join(wide, "quarter", "left").orderBy("quarter")
+    wide = _cohort_cells(df, spine).groupBy("quarter").pivot("tenure_bucket", S.TENURE_MO).agg(F.max("rate_pct"))
+    return quarter_spine(df.sparkSession, spine).select("quarter").join(wide, "quarter", "left").orderBy("quarter")
 
 
-def tenure_mean_of_quarters(df: DataFrame) -> DataFrame:
+def tenure_mean_of_quarters(df: DataFrame, spine: Mapping[str, float] = S.QUARTER_TARGETS) -> DataFrame:
     """Unweighted mean of the quarter rates per bucket, and which bucket is best."""
-    return (_cohort_cells(df).groupBy("bucket_ord", "tenure_bucket").agg(num.rnd(F.avg("rate_pct"), 6).alias("avg_rate_pct"))
+    return (_cohort_cells(df, spine).groupBy("bucket_ord", "tenure_bucket").agg(num.rnd(F.avg("rate_pct"), 6).alias("avg_rate_pct"))
             .withColumn("is_best", F.col("avg_rate_pct") == F.max("avg_rate_pct").over(over_all()))
             .orderBy("bucket_ord").drop("bucket_ord"))
 
 
-def cohort_groups_mean(df: DataFrame) -> DataFrame:
-    """Unweighted mean of quarter rates per bucket for the early, mid and recent cohorts."""
-    cells = _cohort_cells(df.filter(F.col("quarter").isin(list(S.COHORT_GROUPS))))
-    return (cells.groupBy(lookup("quarter", S.COHORT_GROUPS).alias("cohort"), "bucket_ord", "tenure_bucket")
+def cohort_groups_mean(df: DataFrame, cohort_groups: Mapping[str, str] = S.COHORT_GROUPS) -> DataFrame:
+    """Unweighted mean of quarter rates per bucket for the given groups of quarters."""
+    cells = _cohort_cells(df, cohort_groups)
+    return (cells.groupBy(lookup("quarter", cohort_groups).alias("cohort"), "bucket_ord", "tenure_bucket")
             .agg(num.rnd(F.avg("rate_pct"), 6).alias("rate_pct")).orderBy("cohort", "bucket_ord").drop("bucket_ord"))
 
 
@@ -241,8 +253,9 @@ def leading_indicators_sql(df: DataFrame) -> DataFrame:
             .orderBy("quarter"))
 
 
-def leading_indicators(df: DataFrame) -> DataFrame:
+def leading_indicators(df: DataFrame, spine: Mapping[str, float] = S.QUARTER_TARGETS) -> DataFrame:
+    """Means per quarter of the spine; a quarter without rows is kept as nulls."""
     means = df.groupBy("quarter").agg(num.mean("digital_engagement_score").alias("avg_digital"),
                                       num.score_mean("propensity_score").alias("avg_propensity"),
                                       num.mean("outreach_contacts_12m").alias("avg_outreach"))
-    return quarter_spine(df.sparkSession).select("quarter").join(means, "quarter", "left").orderBy("quarter")
+    return quarter_spine(df.sparkSession, spine).select("quarter").join(means, "quarter", "left").orderBy("quarter")

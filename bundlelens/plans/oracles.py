@@ -220,8 +220,8 @@ def oracle_sql() -> dict[str, str]:
  lpad(({_KEY}%({_case('agency_channel', {c: n for c, (_, n) in S.AGENT_POOLS.items()})})+1)::varchar,4,'0') agent_id from h) group by 1,2""")
     o["add_propensity_tier"] = _q("select propensity_tier, count(*) households, min(propensity_score) min_score, max(propensity_score) max_score from h group by 1")
     o["add_projected_cltv"] = _q(f"""select household_id, {r('x')} projected_mphh_cltv from (select household_id,
- (annual_premium_anchor+(case when home_ownership='Homeowner' then 900+{_KEY}%900 else 400+{_KEY}%500 end)::double)
- *least(greatest((tenure_months+12+{_KEY}%48)::double/12::double,1::double),8::double)*0.18::double x from h)""")
+ (annual_premium_anchor+(case when home_ownership='Homeowner' then 1350 else 650 end)::double)
+ *least(greatest((tenure_months+36)::double/12::double,1::double),8::double)*0.18::double x from h)""")
     o["scorecard"] = _q(f"""select household_id, least(990,greatest(10,floor(1000::double/(1::double+exp(-lo))+0.5::double)::bigint))::double/10::double propensity_score
  from (select *, {_log_odds(prep.SCORECARD_INTERCEPT)} lo from h)""")
     o["filter_domains"] = _q(" union all ".join(
@@ -288,6 +288,9 @@ def oracle_sql() -> dict[str, str]:
     o["yoy_quarter"] = _yoy("quarter_label", f"rt as (select right(quarter,2) quarter_label, left(quarter,4) y, {pct(HITS, N)} rate from b group by 1,2)",
                             f", {_TREND('b4.rate', 'a.rate')} direction_23_24")
     o["yoy_channel"] = _yoy("agency_channel", f"rt as (select agency_channel, left(quarter,4) y, {pct(HITS, N)} rate from b group by 1,2)", "")
+    o["yoy_years"] = _q(f"""select a.agency_channel, a.rate rate_2024, c.rate rate_2025, {r('c.rate-a.rate')} delta_24_25_pp, {_TREND('c.rate', 'a.rate')} direction_24_25
+ from rt a join rt c on a.agency_channel=c.agency_channel and a.y='2024' and c.y='2025'""",
+        f"rt as (select agency_channel, left(quarter,4) y, {pct(HITS, N)} rate from b group by 1,2)")
     o["yoy_cltv"] = _q(f"""select case when left(quarter,4) in ('2023','2024','2025') then left(quarter,4) end as year, count(*) total_households,
  {r(mavg(PREM))} avg_anchor_premium, {r(mavg(CLTV))} avg_cltv, {money_M(CLTV)} total_cltv_M from b group by 1""")
     o["cohort_tenure"] = _q(f"select quarter acquisition_quarter, {_bucket(S.TENURE_MO, False)} tenure_bucket, {vol()} from b group by 1,2")
@@ -358,7 +361,7 @@ def oracle_sql() -> dict[str, str]:
     o["encode_features"] = _q(f"select household_id, {', '.join(S.NUMERIC_FEATURES)}, "
                               + ", ".join(f"{_case(c, codes)} {c}_enc" for c, codes in S.ORDINAL_CODES.items()) + " from h")
     spot = _HASH.format("'42-'||converted_mphh||'-'||household_id")
-    o["stratified_split"] = _q(f"select household_id, converted_mphh, case when {spot}%10000<2000 then 'test' else 'train' end split from h")
+    o["stratified_split"] = _q(f"select household_id, converted_mphh, case when {spot}<{int(0.2 * 2**32)} then 'test' else 'train' end split from h")
     tn, fp, fn_, tp = (f"count(*) filter (propensity_score{'>=' if p else '<'}50 and converted_mphh={a})" for p, a in ((0, 0), (1, 0), (0, 1), (1, 1)))
     o["confusion"] = _q(f"""select {tn} tn, {fp} fp, {fn_} fn, {tp} tp, coalesce({ratio(f'{tn}+{tp}', N)},0) accuracy,
  coalesce({ratio(tp, f'{tp}+{fp}')},0) as precision, coalesce({ratio(tp, f'{tp}+{fn_}')},0) recall from h""")
@@ -382,12 +385,14 @@ def oracle_sql() -> dict[str, str]:
     pair = lambda label, d: f"select '{label}' as years, {r(f'coalesce(avg({d}),0)', 6)} avg_delta_pp, count({d}) quarters_compared, count(*) filter ({d}>0) quarters_improved from e05"
     o["yoy_summary"] = _q(pair("2023-2024", "rate_2024-rate_2023") + " union all " + pair("2024-2025", "rate_2025-rate_2024"), _SPINE, _QS, _E05)
     in_year = lambda y: ratio(f"sum(case when year='{y}' then converted_mphh end)", f"count(*) filter (year='{y}')") + f"*100::double rate_{y}"
-    o["channel_year_pivot"] = _q("""select *, rate_2024-rate_2023 delta_23_24, rate_2025-rate_2024 delta_24_25, coalesce(rate_2025-rate_2024, rate_2024-rate_2023) sort_delta from g""",
+    o["channel_year_pivot"] = _q("""select *, rate_2024-rate_2023 delta_23_24, rate_2025-rate_2024 delta_24_25, case when max(rate_2025) over () is not null then rate_2025-rate_2024 when max(rate_2024) over () is not null then rate_2024-rate_2023 end sort_delta from g""",
         f"g as (select agency_channel, {', '.join(in_year(y) for y in S.YEARS)} from b group by 1)")
     o["cltv_year"] = _q(f"select year, {mavg(CLTV)} avg_cltv, {msum(CLTV)} total_cltv, {msum(CLTV)}/1000000::double total_cltv_M from b group by 1")
     o["tenure_mean_of_quarters"] = _q(f"select *, avg_rate_pct=max(avg_rate_pct) over () is_best from (select tenure_bucket, {r('avg(rate_pct)', 6)} avg_rate_pct from cells group by 1)", _COHORT)
     o["cohort_matrix"] = _q("select s.quarter, " + ", ".join(f"max(case when tenure_bucket='{t}' then rate_pct end) \"{t}\"" for t in S.TENURE_MO)
                             + " from spine s left join cells c on c.quarter=s.quarter group by 1", _SPINE, _COHORT)
+    o["cohort_matrix_spine"] = _q("select s.quarter, " + ", ".join(f"max(case when tenure_bucket='{t}' then rate_pct end) \"{t}\"" for t in S.TENURE_MO)
+                                  + f" from spine s left join cells c on c.quarter=s.quarter where {_in('s.quarter', R.OWN_SPINE)} group by 1", _SPINE, _COHORT)
     o["cohort_groups_mean"] = _q(f"select {_case('quarter', S.COHORT_GROUPS)} cohort, tenure_bucket, {r('avg(rate_pct)', 6)} rate_pct from cells where {_in('quarter', S.COHORT_GROUPS)} group by 1,2", _COHORT)
     o["agent_leaderboard"] = _q("""select *, rank() over (order by converted desc) rank_converted, rank() over (order by rate desc) rank_rate,
  rank() over (order by total_cltv desc) rank_cltv from lb""", _LB)

@@ -25,6 +25,7 @@ CROSSSELL_CHOICE = {"channels": ["Independent Agent", "Captive Agent"], "product
                     "tiers": ["Standard", "Plus", "Elite"], "ownership": ["Homeowner", "Condo"], "tenure": (12, 84)}
 BENCHMARK_CHOICE = {"channels": ["Independent Agent", "Call Center"], "regions": ["Midwest", "South"],
                     "states": ["OH", "MI", "TX", "FL"], "years": ["2024", "2025"], "tiers": ["Basic", "Standard", "Plus"]}
+OWN_SPINE = {"2024Q3": 28.0, "2024Q4": 28.5, "2025Q1": 29.0}
 BOARD_CHANNELS = ["Independent Agent", "Direct Online"]
 
 
@@ -142,8 +143,8 @@ def queries() -> dict[str, Query]:
         "quality_checks": _on(B, prep.quality_checks),
         "value_counts": _on(B, prep.value_counts),
         "agents_per_channel": _on(B, prep.agents_per_channel),
-        "add_region": _on(H, lambda h: prep.mapping_report(prep.add_region(h), "state", "region", "Other")),
-        "add_target": _on(H, lambda h: prep.mapping_report(prep.add_target(prep.add_quarter_year(h)), "quarter", "robinson_target_pct")),
+        "add_region": _on(H, lambda h: prep.mapping_report(prep.add_region(h), "state", "region", S.STATE_REGION)),
+        "add_target": _on(H, lambda h: prep.mapping_report(prep.add_target(prep.add_quarter_year(h)), "quarter", "robinson_target_pct", S.QUARTER_TARGETS)),
         "add_quarter_year": _on(H, lambda h: prep.add_quarter_year(h).groupBy("quarter", "year").agg(num.rows().alias("households"))),
         "assign_agents": _on(H, lambda h: prep.assign_agents(h).groupBy("agency_channel", "agent_id").agg(num.rows().alias("households"))),
         "add_propensity_tier": _on(H, lambda h: prep.add_propensity_tier(h.drop("propensity_tier")).groupBy("propensity_tier").agg(
@@ -206,6 +207,8 @@ def queries() -> dict[str, Query]:
         **{name: _on(B, getattr(quarters, name)) for name in (
             "quarter_summary", "channel_quarter_grid", "yoy_table", "channel_year_pivot", "cltv_year",
             "tenure_mean_of_quarters", "cohort_matrix", "cohort_groups_mean", "leading_indicators")},
+        "yoy_years": _on(B, lambda b: quarters.yoy_channel(b, years=["2024", "2025"])),
+        "cohort_matrix_spine": _on(B, lambda b: quarters.cohort_matrix(b, spine=OWN_SPINE)),
         "kpi_benchmark": _on(B, lambda b: quarters.kpi_benchmark(b, bench())),
         "tracker_status": _on(B, lambda b: quarters.tracker_status(quarters.quarter_summary(b))),
         "yoy_summary": _on(B, lambda b: quarters.yoy_summary(quarters.yoy_table(b))),

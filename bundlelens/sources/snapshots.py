@@ -1,19 +1,29 @@
 """Writing facts and results, and reading them back."""
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bundlelens.operators.preparation import dataset_profile
 
 
-def write_snapshot(df: DataFrame, path: str, by: str | None = None, fmt: str = "parquet") -> str:
-    """Write a fact or result, in folders of ``by`` where given, replacing what was there.
+def write_snapshot(df: DataFrame, path: str, by: str | None = None, fmt: str = "parquet", replace: str = "table") -> str:
+    """Write a fact or result, in folders of ``by`` where given.
+
+    ``replace="table"`` replaces all that was there, ``"folders"`` only the folders that ``df`` has rows for, as a refresh of one
+    quarter does. A path that ``df`` itself reads from is refused.
 
     Rows are rebalanced on the folder column first: small folders get one file instead of one per task,
     and a folder that holds much of the table is split over several tasks.
     """
+    if replace not in ("table", "folders") or (replace == "folders" and not by):
+        raise ValueError("replace is 'table', or 'folders' where there are folders")
+    inside = urlparse(path).path.rstrip("/") + "/"
+    if any(urlparse(f).path.startswith(inside) for f in df.inputFiles()):
+        raise ValueError(f"{path} is read by the frame that would replace it")
     if by:
         df = df.hint("rebalance", F.col(by))
-    writer = df.write.mode("overwrite").format(fmt)
+    writer = df.write.mode("overwrite").format(fmt).option("partitionOverwriteMode", "dynamic" if replace == "folders" else "static")
     if fmt == "csv":
         writer = writer.option("header", True)
     (writer.partitionBy(by) if by else writer).save(path)
