@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from bundlelens.plans import oracles, registry
 from conftest import SF01
 
-SQL = entry.oracle_sql()
+SQL = oracles.oracle_sql()
 MODEL_ONLY = {"train_gbt", "score_households", "model_auc", "model_confusion", "feature_importance", "model_lift_table",
               "model_decile_profile"}
 
@@ -17,8 +18,8 @@ def con():
 
 
 def test_only_model_output_has_no_sql():
-    assert set(entry.queries()) - set(SQL) == MODEL_ONLY
-    assert set(SQL) <= set(entry.queries())
+    assert set(registry.queries()) - set(SQL) == MODEL_ONLY
+    assert set(SQL) <= set(registry.queries()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("key", sorted(SQL))
