@@ -57,6 +57,14 @@ def may_be_alike(a: str, b: str, percent: int) -> Column:
     return differ * (100 + percent) <= (F.col(f"{a}m") + F.col(f"{b}m")) * (100 - percent)
 
 
+def in_components(members: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` with their component ``c``, and the hub's component (``center``) of buckets that lie in several."""
+    named = linked.select(F.col("node").alias("h"), F.col("component").alias("c"))
+    placed = hold(members.join(named, "h", "left").withColumn("c", F.coalesce("c", "h")))
+    several = placed.groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max(F.when(F.col("h") == F.col("hub"), F.col("c"))).alias("center"))
+    return placed, hold(several.filter("x <> y").select("b", "center"))
+
+
 def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int = 8, percent: int = 80, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """Per line ``id``, ``th``, ``line_no``, ``first_id``, ``first_line`` (the line of its component that stays) and ``kept``.
@@ -84,16 +92,20 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
     members = hold(members.join(hubs, "b"))
     texts = lines.filter("long").select("h", "norm").join(weights.select("h"), "h").dropDuplicates(["h"])
     texts = hold(texts)
-    bits = hold(bitmaps(texts, width))
     tried = members.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
     links = hold(alike(tried, texts, width, percent))
     linked = components(links)
-    named = linked.select(F.col("node").alias("h"), F.col("component").alias("c"))
-    placed = members.filter("size > 2").join(named, "h", "left").withColumn("c", F.coalesce("c", "h"))
-    center = placed.filter("h = hub").select("b", F.col("c").alias("center"))
-    # Buckets that lie in one component whole need no second look.
-    mixed = placed.groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("b")
-    placed = hold(placed.join(center.join(mixed, "b"), "b").join(bits, "h"))
+    placed, center = in_components(members.filter("size > 2"), linked)
+    # The commonest line outside the hub's component is a second hub, which joins most of what belongs together.
+    outer = placed.join(center, "b").filter("c <> center").join(weights, "h").groupBy("b").agg(F.max(F.struct("n", "h", "c")).alias("o"))
+    outer = outer.select("b", F.col("o.h").alias("o"), F.col("o.c").alias("oc"))
+    second = placed.join(outer, "b").filter("c <> oc").select(F.col("o").alias("a"), F.col("h").alias("b")).distinct()
+    links = hold(links.unionByName(alike(second, texts, width, percent)))
+    linked = components(links)
+    placed, center = in_components(placed.drop("c"), linked)
+    # Buckets that lie in one component whole need no further look.
+    bits = hold(bitmaps(texts.join(placed.join(center.select("b"), "b").select("h").distinct(), "h"), width))
+    placed = hold(placed.join(center, "b").join(bits, "h"))
     outside = placed.filter("c <> center").select("b", F.col("h").alias("o"), F.col("c").alias("oc"), F.col("m").alias("om"),
                                                   *(F.col(f"w{k}").alias(f"ow{k}") for k in range(WORDS)))
     cross = outside.join(placed.filter("h <> hub"), (outside["b"] == placed["b"]) & (F.col("oc") != F.col("c"))
@@ -104,11 +116,12 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
     # Lines that occur once and are linked with none need no more looking up.
     nodes = linked.select(F.col("node").alias("h"), F.col("component").alias("c"))
     again = signs.filter("n > 1").select("h").join(nodes, "h", "full").select("h", F.coalesce("c", "h").alias("c"))
-    slim = lines.filter("long").select("id", "th", "line_no", "h").join(again, "h")
+    every = hold(lines.select("id", "th", "line_no", F.when(F.col("long"), F.col("h")).alias("h")))
+    slim = every.filter("h is not null").join(again, "h")
     slim = hold(slim.select("id", "th", "line_no", "c"))
     first = slim.groupBy("c").agg(F.min(F.struct("id", "th", "line_no")).alias("first"))
     found = slim.join(first, "c").select(F.col("id").alias("i"), F.col("th").alias("t"), F.col("line_no").alias("l"), "first").distinct()
-    out = lines.select("id", "th", "line_no").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")) & (F.col("line_no") == F.col("l")), "left")
+    out = every.select("id", "th", "line_no").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")) & (F.col("line_no") == F.col("l")), "left")
     own = F.col("first").isNull() | (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.th") == F.col("th")) & (F.col("first.line_no") == F.col("line_no")))
     return out.select("id", "th", "line_no", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("first_id"),
                       F.coalesce("first.line_no", "line_no").alias("first_line"), own.alias("kept"))
