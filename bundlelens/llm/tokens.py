@@ -11,8 +11,8 @@ class Encoder:
     """Ids of texts, as the library gives them for the whole text without special tokens added.
 
     A token never spans blank space, so a text's ids are those of its words in turn. Words repeat, so each is encoded
-    once and kept, up to ``limit`` words. Where no special token can occur, letters A-Z are lowered and a full stop or
-    comma between a letter a-z and a blank is cut off first, which leads to the same ids (the tokenizer does both)
+    once and kept, up to ``limit`` words. Where no special token can occur, letters A-Z are lowered and ASCII marks
+    (but the apostrophe) between a letter a-z and a blank are cut off first, which leads to the same ids (the tokenizer does both)
     and to fewer different words. That holds for lower-casing tokenizers that drop blanks, which the constructor checks.
     """
 
@@ -26,7 +26,7 @@ class Encoder:
         same = [self.ids([probe])[0], b"".join(self.ids(probe.split())), b"".join(self.ids(["aa", "bb", ",", "c", ".", "1", "Éx"]))]
         if len(set(same)) > 1:
             raise ValueError("the tokenizer doesn't lower case or keeps blank space; its texts must be encoded whole")
-        self.stop = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
+        self.stop = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D])")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
