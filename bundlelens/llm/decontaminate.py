@@ -25,18 +25,19 @@ _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
 
 
 class Tokens(dict):
-    """Per word as written: hash of its plain form, hash of its typed form if typed by itself, type, capital, end of sentence, whether it is a word."""
+    """Per word as written one number: hash of its plain form and, in the low five bits, its type, capital, end of sentence, whether it is a word."""
 
     def __missing__(self, word: bytes):
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 1_000_000:
             self.clear()
         text = word.decode("utf-8", "replace")
         core = _EDGE.sub("", text)
         low = core.lower()
         kind = NUMBER if _NUMBER.fullmatch(core) else UNIT if low in UNITS else PLAIN
-        value = self[word] = (xxhash.xxh3_64_intdigest(low), kind | core[:1].isupper() << 2 | (text[-1:] in ".!?:|") << 3 | bool(core) << 4)
+        code = kind | core[:1].isupper() << 2 | (text[-1:] in ".!?:|") << 3 | bool(core) << 4
+        value = self[word] = xxhash.xxh3_64_intdigest(low) & ~31 | code
         return value
 
 
@@ -45,9 +46,10 @@ def template(text: bytes, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.nd
 
     A capitalised word is a name unless it begins a sentence or line; runs of marks alone are no tokens.
     """
-    pairs = [tokens[w] for w in text.split()]
-    plain = np.fromiter((p[0] for p in pairs), np.uint64, len(pairs))
-    code = np.fromiter((p[1] for p in pairs), np.int64, len(pairs))
+    words = text.split()
+    plain = np.fromiter(map(tokens.__getitem__, words), np.uint64, len(words))
+    code = (plain & np.uint64(31)).astype(np.int64)
+    plain &= ~np.uint64(31)
     kind = code & 3
     begins = np.concatenate([[True], (code[:-1] & 8) > 0])[: len(code)]
     kind[(kind == PLAIN) & ((code & 4) > 0) & ~begins] = NAME
@@ -94,7 +96,8 @@ class Items:
 
     @staticmethod
     def _values(text: bytes, tokens: Tokens) -> np.ndarray:
-        return np.fromiter((p[0] for p in (tokens[w] for w in text.split()) if p[1] & 16), np.uint64)
+        value = np.array([tokens[w] for w in text.split()], np.uint64)
+        return value[(value & np.uint64(16)) > 0] & ~np.uint64(31)
 
     def matches(self, text: bytes, tokens: Tokens, share: float) -> list[tuple[int, float]]:
         """Items of which at least ``share`` of the windows stand in the text close together, with that share."""
