@@ -104,13 +104,16 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
     linked = components(links)
     placed, center = in_components(placed.drop("c"), linked)
     # Buckets that lie in one component whole need no further look.
-    bits = hold(bitmaps(texts.join(placed.join(center.select("b"), "b").select("h").distinct(), "h"), width))
+    bits = bitmaps(texts.join(placed.join(center.select("b"), "b").select("h").distinct(), "h"), width)
+    bits = hold(bits.join(signs.select("h", "keys"), "h"))
     placed = hold(placed.join(center, "b").join(bits, "h"))
-    outside = placed.filter("c <> center").select("b", F.col("h").alias("o"), F.col("c").alias("oc"), F.col("m").alias("om"),
+    outside = placed.filter("c <> center").select(F.col("b").alias("ob"), F.col("h").alias("o"), F.col("c").alias("oc"), F.col("m").alias("om"), F.col("keys").alias("okeys"),
                                                   *(F.col(f"w{k}").alias(f"ow{k}") for k in range(WORDS)))
-    cross = outside.join(placed.filter("h <> hub"), (outside["b"] == placed["b"]) & (F.col("oc") != F.col("c"))
-                         & ((F.col("c") == F.col("center")) | (F.col("o") < F.col("h"))) & may_be_alike("o", "", percent))
-    more = hold(alike(cross.select(F.col("o").alias("a"), F.col("h").alias("b")).distinct(), texts, width, percent))
+    # A pair is made in the first bucket that it shares, not in each of them.
+    first_shared = F.coalesce(*(F.when(F.col("okeys")[i] == F.col("keys")[i], F.col("keys")[i]) for i in range(bands)))
+    cross = outside.join(placed.filter("h <> hub"), (F.col("ob") == F.col("b")) & (F.col("oc") != F.col("c"))
+                         & ((F.col("c") == F.col("center")) | (F.col("o") < F.col("h"))) & may_be_alike("o", "", percent) & (first_shared == F.col("b")))
+    more = hold(alike(cross.select(F.col("o").alias("a"), F.col("h").alias("b")), texts, width, percent))
     if not more.isEmpty():
         linked = components(links.unionByName(more))
     # Lines that occur once and are linked with none need no more looking up.
