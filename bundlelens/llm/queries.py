@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm import (decontaminate, gam, line_dedup, packing, quality_rules, substring, suffix_array, superminhash, surrogates,
+from bundlelens.llm import (decontaminate, gam, line_dedup, oracles, packing, quality_rules, substring, suffix_array, superminhash, surrogates,
                             token_store)
 from bundlelens.session import shared_dir
 
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
