@@ -168,7 +168,7 @@ def classify(df: DataFrame, labels: DataFrame, max_train_rows: int = 40_000, thr
     """Per row ``id``, ``held_out``, ``score``, ``predicted``.
 
     Rows whose crc32 of the id (as text) is a multiple of ``held_mod`` are held out. The model is fitted on at most ``max_train_rows`` labelled
-    rows of the others, those whose id hashes lowest; its input is the text alone. Features of all texts are computed once. Null text is
+    rows of the others, those whose id hashes lowest (about as many, at most as many); its input is the text alone. Features of all texts are computed once. Null text is
     empty text and gets a score as well; a null id is not held out and never labelled; labels other than 0 and 1 are ignored;
     repeated labels count each; with no usable labels every score is 0.5.
     """
@@ -177,7 +177,9 @@ def classify(df: DataFrame, labels: DataFrame, max_train_rows: int = 40_000, thr
     out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(held_mod)) == 0, F.lit(False))
     known = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
     sample = table.filter(~out).join(known, F.col("id") == F.col("i")).select("x", "y", F.xxhash64("id", "th").alias("h"))
-    rows = sample.orderBy("h", "y").limit(max_train_rows).select("x", "y").toPandas()
+    # Each task sends the driver its own lowest rows, so the hash bounds what all tasks send together before the limit makes it exact.
+    lowest = F.col("h") / F.lit(2.0**64) + 0.5 < max_train_rows / max(1, sample.count())
+    rows = sample.filter(lowest).orderBy("h", "y").limit(max_train_rows).select("x", "y").toPandas()
     x = np.stack(rows["x"]) if len(rows) else np.empty((0, len(FEATURES)))
     model = fit(x, rows["y"].to_numpy(float))
     scored = table.mapInArrow(score_rows(model), f"id {id_type(docs)}, th long, score double")
