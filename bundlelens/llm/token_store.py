@@ -50,10 +50,9 @@ def block_rows(tokenizer: str, dictionary: bytes, end_id: int, block_docs: int,
         press = zstandard.ZstdCompressor(level=level, write_content_size=True, **shared)
         name = hashlib.sha256(dictionary).digest()[:8]
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            for lo in range(0, len(texts), block_docs):
+            for lo in range(0, batch.num_rows, block_docs):
                 frames, ends, counts = [], [], []
-                for data in enc.encode(texts[lo : lo + block_docs]):
+                for data in enc.encode(utf8(batch.column("text").slice(lo, block_docs))):
                     frames.append(press.compress(data + end))
                     ends.append(len(frames[-1]) + (ends[-1] if ends else 0))
                     counts.append(len(data) // 4 + 1)
