@@ -1,6 +1,6 @@
 """Fuzzy line deduplication, in DataFrame functions only.
 
-Lines are compared by the ``width``-character shingles that begin at their words. A signature of ``2 * bands`` least hashes per line is
+Lines are compared by the ``width``-character shingles at every character. A signature of ``2 * bands`` least hashes per line is
 made where the lines are read, grouped by the line's hash and combined before the shuffle, so texts of lines aren't
 shuffled for it. Lines that share a band (two least hashes) are compared with the commonest of them; lines then left in
 another component than it are compared with the rest of their bucket, where bitmaps of the shingles rule out pairs that cannot be
@@ -18,7 +18,8 @@ BLANKS = " \t\n\x0b\f\r"
 
 
 def shingles(line: Column, width: int) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?<![^ ])(?=([^ ].{{{width - 1}}}))"), F.lit(1))
+    """All runs of ``width`` characters, in order. Each match goes on by one character, so the time is linear in the line's length."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -28,12 +29,14 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``) whose lines share at least ``percent`` percent of their shingles."""
-    sets = texts.select("h", F.array_distinct(shingles(F.col("norm"), width)).alias("s"))
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("s")), "a").join(
-        sets.select(F.col("h").alias("b"), F.col("s").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    return both.filter(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("a", "b")
+    """Those of ``pairs`` (``a``, ``b``) whose lines share at least ``percent`` percent of their shingles.
+
+    Shingles are many times longer than their line, so they are taken after the joins.
+    """
+    left, right = (texts.select(F.col("h").alias(x), F.col("norm").alias(f"{x}_norm"), F.col("m").alias(f"{x}_m")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").filter(100 * F.least("a_m", "b_m") >= percent * F.greatest("a_m", "b_m"))
+    common = F.size(F.array_intersect(shingles(F.col("a_norm"), width), shingles(F.col("b_norm"), width)))
+    return both.filter(common * (100 + percent) >= percent * (F.col("a_m") + F.col("b_m"))).select("a", "b")
 
 
 #: A set's bitmap has so many words of 64 bits.
@@ -54,7 +57,8 @@ def bitmaps(texts: DataFrame, width: int) -> DataFrame:
 def may_be_alike(a: str, b: str, percent: int) -> Column:
     """False only for pairs below ``percent``: bits that differ are fewer than shingles that differ, of which a similar pair has few."""
     differ = sum((F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{a}w0").bitwiseXOR(F.col(f"{b}w0"))))
-    return differ * (100 + percent) <= (F.col(f"{a}m") + F.col(f"{b}m")) * (100 - percent)
+    m = F.col(f"{a}m"), F.col(f"{b}m")
+    return (100 * F.least(*m) >= percent * F.greatest(*m)) & (differ * (100 + percent) <= (m[0] + m[1]) * (100 - percent))
 
 
 def in_components(members: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +75,7 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
 
     A line's component is all lines reachable by pairs that are equal or share at least ``percent`` percent of their shingles, compared
     without case and blanks at the ends; the line with the least id and number stays. Lines under ``min_chars`` characters, blank ones among them, always stay.
-    A pair at exactly 80 percent becomes a candidate with probability 1 - 3e-4, at 85 percent with 1 - 4e-5. Null text is one empty line. Ids that
+    Shingles are the runs of ``width`` characters at each position. A pair at exactly 80 percent becomes a candidate with probability 1 - 3e-4, at 85 percent with 1 - 4e-5. Null text is one empty line. Ids that
     are null come first. Equal rows count as one document, so both keep the line that stays. An empty table gives no rows. Two lines whose 64-bit hashes
     collide are left alone.
     """
@@ -91,7 +95,7 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
     hubs = members.join(weights, "h").groupBy("b").agg(F.max(F.struct("n", "h")).getField("h").alias("hub"))
     members = hold(members.join(hubs, "b"))
     texts = lines.filter("long").select("h", "norm").join(weights.select("h"), "h").dropDuplicates(["h"])
-    texts = hold(texts)
+    texts = hold(texts.withColumn("m", F.size(F.array_distinct(shingles(F.col("norm"), width)))))
     tried = members.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
     links = hold(alike(tried, texts, width, percent))
     linked = components(links)

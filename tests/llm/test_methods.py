@@ -58,6 +58,36 @@ def test_line_texts(documents):
     assert out == {1: rows[1][1], 2: "and one of its own, long as well", 3: None, 4: ""}
 
 
+def dense_lines(rows, min_chars=24, width=12, percent=80):
+    """Lines by shingles at every character."""
+    lines = [(i, k, x.strip(" \t\n\x0b\f\r").lower()) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
+    sets = [{x[k : k + width] for k in range(len(x) - width + 1)} if len(x) >= min_chars else set() for _, _, x in lines]
+    root = brute.groups(len(lines), brute.similar(sets, percent))
+    least = {}
+    for (i, k, _), r in zip(lines, root):
+        least[r] = min((i, k), least.get(r, (i, k)))
+    return sorted((i, k, *least[r], (i, k) == least[r]) for (i, k, _), r in zip(lines, root))
+
+
+def test_lines_by_every_character(documents, tricky):
+    urls = ["https://www.example.com/first/page/of/one", "https://www.other.org/an/entirely/different/place", "https://www.example.com/first/page/of/one?x"]
+    tabs = ["\t".join(f"{c}{k}" for k in range(12)) for c in ("alpha", "beta", "gamma")]
+    script = ["これは空白のない長い日本語の行であり最初の十二文字は同じです", "これは空白のない長い日本語とは違う内容がここから先に続いています", "emoji 😀😀😀 in a line that is long 😀 enough", "emoji 😀😀😀 in a line that is long 😀 enough."]
+    ends = ["the same words but for the very last of themAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA", "the same words but for the very last of themBCDEFGHIJKLMNOPQRSTUVWXYZABCDE"]
+    base = " ".join(f"word{i}" for i in range(60))
+    edits = [base[: 7 * k] + "#" + base[7 * k + 1 :] if k % 3 else base[: 5 * k] + f" other{k} words{k} here{k} " + base[5 * k + 25 :] for k in range(30)]
+    rows = tricky + [(100 + k, x) for k, x in enumerate(urls + tabs + script + ends + edits)]
+    out = marked(line_dedup.mark_lines(documents(rows)))
+    assert out == dense_lines(rows)
+    kept = {i: k for i, _, _, _, k in out}
+    assert kept[100] and kept[101] and not kept[102] and all(kept[103 + k] for k in range(3)) and kept[106] and kept[107] and kept[110] and kept[111]
+
+
+def test_dense_lines_of_the_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert marked(Q.op4(spark, "/root/testdata/sf0.001").withColumnRenamed("doc_id", "id")) == dense_lines(rows)
+
+
 def test_common_lines(documents):
     menu = "Home | About us 2024"
     letters = str.maketrans("0123456789", "abcdefghij")
