@@ -19,14 +19,43 @@ def line_key(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else 0
 
 
+#: So many least hashes of a document's runs beside a line tell its near copies.
+MINIMA = 4
+
+
+def line_families(lines: list[tuple[int, int]], runs: np.ndarray, whole: int) -> tuple[int, dict[int, int]]:
+    """The document's family, by which its near copies count once: its least hashes of runs; and per line key, of runs that don't touch the line.
+
+    ``lines`` are keys and numbers of words. With too few such runs only copies of the whole text are one family.
+    """
+    touched: set[int] = set()
+    of = [key for key, n in lines for _ in range(n)]
+    least = np.argsort(runs, kind="stable")
+    places, values = least.tolist(), runs[least].tolist()
+
+    def family(key: int | None) -> int:
+        found: list[int] = []
+        for at, value in zip(places, values):
+            if (not found or value != found[-1]) and key not in of[at : at + 3]:
+                found.append(value)
+                if key is None:
+                    touched.update(of[at : at + 3])
+                if len(found) == MINIMA:
+                    return xxhash.xxh3_64_intdigest(b"".join(v.to_bytes(8, "little") for v in found)) - (1 << 63)
+        return whole
+
+    usual = family(None)
+    return usual, {key: family(key) if key in touched else usual for key, n in lines}
+
+
 def text_counts(text: bytes, hashes: WordHashes) -> tuple:
     s = text.decode("utf-8", "replace")
     words = text.split()
     n = len(words)
     lines = [x for x in text.split(b"\n") if x.split()]
-    repeat, family = 0, xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+    repeat, whole = 0, xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+    runs = grams(hashes.of(words), 3)
     if n >= 3:
-        runs = grams(hashes.of(words), 3)
         _, of, count = np.unique(runs, return_inverse=True, return_counts=True)
         often = count[of] > 1
         if often.any():
@@ -34,12 +63,11 @@ def text_counts(text: bytes, hashes: WordHashes) -> tuple:
             for k in range(3):
                 marked[k : k + len(often)] |= often
             repeat = int(marked.sum())
-        family = int(runs.min().view(np.int64))
-    return n, len(s) - sum(map(s.count, BLANKS)), sum(map(s.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, family
+    return n, len(s) - sum(map(s.count, BLANKS)), sum(map(s.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, whole, runs
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-LINES = pa.list_(pa.struct([("key", pa.int64()), ("words", pa.int32())]))
+LINES = pa.list_(pa.struct([("key", pa.int64()), ("words", pa.int32()), ("family", pa.int64())]))
 
 
 def count_rows(batches):
@@ -49,24 +77,28 @@ def count_rows(batches):
         for lo in range(0, len(texts), 1000):
             part = texts[lo : lo + 1000]
             counts = [text_counts(t, hashes) for t in part]
-            lines = []
-            for t in part:
+            lines, kinds = [], []
+            for t, (*_, whole, runs) in zip(part, counts):
+                keyed = [(line_key(x), len(x.split())) for x in t.split(b"\n")]
+                kind, families = line_families(keyed, runs, whole)
+                kinds.append(kind)
                 words: dict[int, int] = {}
-                for x in t.split(b"\n"):
-                    if key := line_key(x):
-                        words[key] = words.get(key, 0) + len(x.split())
-                lines.append([{"key": k, "words": n} for k, n in words.items()])
+                for key, n in keyed:
+                    if key:
+                        words[key] = words.get(key, 0) + n
+                lines.append([{"key": k, "words": n, "family": families[k]} for k, n in words.items()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, 1000) for c in ("id", "th", "host")),
-                                              *(pa.array(c, pa.int64()) for c in zip(*counts)), pa.array(lines, LINES)],
+                                              *(pa.array(c, pa.int64()) for c in list(zip(*counts))[: len(COUNTS)]), pa.array(kinds, pa.int64()), pa.array(lines, LINES)],
                                              ["id", "th", "host", *COUNTS, "family", "lines"])
 
 
 def judge(df: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, min_line_docs: int = 20, max_line_share: float = 0.05,
-          min_left_pct: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+          min_left_pct: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = 10_000) -> DataFrame:
     """Per row ``id``, ``th``, the counts, ``base_failed``, ``common`` (keys of lines to remove), ``n_line_words`` (words in them), ``kept``.
 
-    A line is removed when more than ``min_line_docs`` and more than ``max_line_share`` of a host's documents have it. Documents
-    with the same least hash over their three-word runs count as one, so copies of a document, which share all its lines, don't make
+    A line is removed when more than ``min_line_docs`` of a host's documents have it and these are more than ``max_line_share`` of
+    them or more than ``max_line_docs``. Documents are counted by their whole text; those that have a line and agree in the least ``MINIMA``
+    hashes of three-word runs beside it count as one for that line, so copies and near copies of a document, which share all its lines, don't make
     those lines common. A document is rejected if it fails the counts or if less than ``min_left_pct`` percent of its words are left.
     Null and empty texts fail for want of words; a null host is a host of its own; equal rows are judged alike; lines
     are compared without regard to case, digits' values and spacing. Groups are counted after pre-aggregation, and a host's
@@ -75,11 +107,12 @@ def judge(df: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, min_line
     docs = documents(df, id_col, text_col, host=host_col)
     kind, host = id_type(docs), id_type(docs, "host")
     counted = hold(docs.select("id", "th", "host", "text").mapInArrow(
-        count_rows, f"id {kind}, th long, host {host}, {', '.join(f'{c} long' for c in COUNTS)}, family long, lines array<struct<key:long,words:int>>"))
-    lines = counted.select("id", "th", "host", "family", F.inline("lines"))
+        count_rows, f"id {kind}, th long, host {host}, {', '.join(f'{c} long' for c in COUNTS)}, family long, lines array<struct<key:long,words:int,family:long>>"))
+    lines = counted.select("id", "th", "host", F.inline("lines"))
     hosts = counted.groupBy("host").agg(F.count_distinct("family").alias("n_docs"))
     often = lines.groupBy("host", "key").agg(F.count_distinct("family").alias("n")).filter(F.col("n") > min_line_docs)
-    often = often.withColumnsRenamed({"host": "h"}).join(hosts, F.col("h").eqNullSafe(F.col("host"))).filter(F.col("n") > F.col("n_docs") * max_line_share)
+    often = often.withColumnsRenamed({"host": "h"}).join(hosts, F.col("h").eqNullSafe(F.col("host"))).filter(
+        (F.col("n") > F.col("n_docs") * max_line_share) | (F.col("n") > max_line_docs))
     often = often.select("h", F.col("key").alias("k"))
     # Equal rows have the same lines: the sums are taken per row of one kind, hence the distinct.
     found = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k"))).select("id", "th", "host", "key", "words").distinct()

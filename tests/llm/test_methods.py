@@ -100,6 +100,20 @@ def test_common_lines(documents):
     assert clean[3] == body(3) and clean[55] == rows[45][1] and 200 not in clean
 
 
+def test_lines_of_depleted_pages(documents):
+    """Pages that share most of their words are still many documents; so are those of a host too large for a share."""
+    shared = [" ".join(f"s{chr(97 + j)}{chr(97 + i)}" for i in range(14)) for j in range(10)]
+    name = lambda k, i: "".join(chr(97 + int(c)) for c in f"{k:04}") + chr(97 + i % 26) + chr(97 + i // 26)
+    own = lambda k, n: " ".join(name(k, i) for i in range(n))
+    rows = [(k, "\n".join([*shared, own(k, 60)])) for k in range(100)] + [(100 + k, own(100 + k, 60)) for k in range(900)]
+    out = {r["id"]: r for r in quality_rules.judge(documents(rows)).collect()}
+    assert all(len(out[k]["common"] or []) == 10 for k in range(100)) and all(not out[100 + k]["common"] for k in range(900))
+    short = [(k, shared[0] + "\n" + own(k, 4)) for k in range(25)] + rows[100:]
+    for limit, n in ((10_000, 0), (24, 1)):
+        out = {r["id"]: r for r in quality_rules.judge(documents(short), max_line_docs=limit).collect()}
+        assert all(len(out[k]["common"] or []) == n for k in range(25))
+
+
 def test_classifier(spark):
     out = Q.op5(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert ((out.score >= 0.3) == out.predicted).all() and out.score.between(0, 1).all()
