@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
 Texts become tokens in which numbers, units and names are typed placeholders. Windows of an item's template are
-looked up in each document's; what stood in the placeholders must then correspond one to one, so that a question with other
+looked up in each document's; equal placeholders of the item must then have equal values in the document, so that a question with other
 numbers or names is caught and a chance match of placeholders is not.
 """
 
@@ -60,6 +60,11 @@ def template(text: bytes, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.where((kind == NUMBER) | (kind == UNIT), typed, plain), typed, kind
 
 
+def covered(ats: list[int], n: int) -> int:
+    """Tokens that windows of ``n`` tokens at the sorted places ``ats`` cover together."""
+    return sum(min(n, b - a) for a, b in zip(ats, ats[1:])) + n if ats else 0
+
+
 def windows(x: np.ndarray, n: int) -> np.ndarray:
     m = len(x) - n + 1
     out = np.zeros(max(0, m), np.uint64)
@@ -71,16 +76,15 @@ def windows(x: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """Templates of a bounded block of benchmark items, with one table of all their windows."""
 
-    def __init__(self, rows: list[tuple], size: int):
+    def __init__(self, rows: list[tuple], size: int, run: int = 30):
         tokens = Tokens()
+        self.size, self.run = size, run
         self.ids = [r[0] for r in rows]
         self.literal = [template((r[1] or "").encode(), tokens) for r in rows]
         self.values = [self._values((r[1] or "").encode(), tokens) for r in rows]
         found: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-        self.count = []
         for i, (plain, typed, _) in enumerate(self.literal):
             n = min(size, len(plain))
-            self.count.append(max(0, len(plain) - n + 1) if n else 0)
             for form in (plain, typed) if n else ():
                 w = windows(form, n)
                 found.setdefault(n, []).append((i, w, np.arange(len(w))))
@@ -100,9 +104,9 @@ class Items:
         return value[(value & np.uint64(16)) > 0] & ~np.uint64(31)
 
     def matches(self, text: bytes, tokens: Tokens, share: float) -> list[tuple[int, float]]:
-        """Items of which at least ``share`` of the windows stand in the text close together, with that share."""
+        """Items of which windows with at least ``share`` of the tokens, or a run of ``run`` tokens, stand in the text close together, with their share."""
         plain, typed, kind = template(text, tokens)
-        hits: dict[int, list[tuple[int, int, int]]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for n, (table, item, at, bits) in self.tables.items():
             for form in (plain, typed):
                 w = windows(form, n)
@@ -112,42 +116,56 @@ class Items:
                 lo, hi = np.searchsorted(table, w[maybe], "left"), np.searchsorted(table, w[maybe], "right")
                 for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
                     for k in range(a, b):
-                        hits.setdefault(int(item[k]), []).append((p, int(at[k]), n))
+                        hits.setdefault(int(item[k]), []).append((p, int(at[k])))
         if not hits:
             return []
         values, out = self._values(text, tokens), []
         for i, found in hits.items():
-            need = -(-self.count[i] * share // 1)
-            if len({at for _, at, _ in found}) >= need:
-                best = self._consistent(i, sorted(set(found)), values, kind, share)
-                if best >= need:
-                    out.append((self.ids[i], best / self.count[i]))
+            length = len(self.values[i])
+            need, n = int(np.ceil(length * share - 1e-9)), min(self.size, length)
+            if covered(sorted({at for _, at in found}), n) >= min(need, self.run):
+                best = self._consistent(i, sorted(set(found)), values, kind, need, n)
+                if best:
+                    out.append((self.ids[i], best / length))
         return out
 
-    def _consistent(self, i: int, found: list[tuple[int, int, int]], values: np.ndarray, kind: np.ndarray, share: float) -> int:
-        """Windows of item i, in place or shifted by up to half its length, whose placeholders correspond; at most what is needed is sought."""
-        reach, best, need = self.count[i] // 2 + 10, 0, -(-self.count[i] * share // 1)
+    def _consistent(self, i: int, found: list[tuple[int, int]], values: np.ndarray, kind: np.ndarray, need: int, n: int) -> int:
+        """Tokens of item i under windows, in place or shifted by up to half its length, whose placeholders correspond; 0 if they are too few.
+
+        Enough are ``need`` tokens, or ``run`` tokens in a row, which is an excerpt.
+        """
         own, kinds = self.values[i], self.literal[i][2]
-        places = np.array([p - at for p, at, _ in found])
+        reach, row = (len(own) - n + 1) // 2 + 10, self.run - n + 1
+        places = np.array([p - at for p, at in found])
         order = np.argsort(places, kind="stable")
         places = places[order]
         for lo in np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])).tolist():
             hi = int(np.searchsorted(places, places[lo] + reach, "right"))
-            if hi - lo < need:
+            if (hi - lo) * n < need and hi - lo < row:
                 continue
-            there, back, seen = {}, {}, set()
-            for p, at, n in (found[k] for k in order[lo:hi]):
+            there: dict[tuple[int, int], int] = {}
+            seen: dict[int, int] = {}
+            for p, at in (found[k] for k in order[lo:hi]):
                 if at in seen:
                     continue
-                pairs = [(int(own[at + k]), int(values[p + k]), int(kinds[at + k])) for k in range(n) if kinds[at + k] and kind[p + k]]
-                if all(there.get((t, a), b) == b and back.get((t, b), a) == a for a, b, t in pairs):
-                    there.update({(t, a): b for a, b, t in pairs})
-                    back.update({(t, b): a for a, b, t in pairs})
-                    seen.add(at)
-            best = max(best, len(seen))
-            if best >= need:
-                break
-        return best
+                new: dict[tuple[int, int], int] = {}
+                for k in range(n):
+                    if kinds[at + k] and kind[p + k]:
+                        slot, value = (int(kinds[at + k]), int(own[at + k])), int(values[p + k])
+                        if there.get(slot, new.get(slot, value)) != value:
+                            break
+                        new[slot] = value
+                else:
+                    there.update(new)
+                    seen[at] = p
+            ats = sorted(seen)
+            total, longest, now = covered(ats, n), 0, 0
+            for k, at in enumerate(ats):
+                now = now + 1 if k and ats[k - 1] == at - 1 and seen[at - 1] == seen[at] - 1 else 1
+                longest = max(longest, now)
+            if total >= need or longest >= row:
+                return total
+        return 0
 
 
 def match_rows(items: Items, share: float, kind: pa.DataType):
@@ -162,11 +180,11 @@ def match_rows(items: Items, share: float, kind: pa.DataType):
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, block_items: int = 20_000, id_col: str = "doc_id",
-               text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """Per row ``id``, ``th``, ``items`` (leaked benchmark items, sorted), ``share`` (most of an item's windows found), ``contaminated``.
+               text_col: str = "text", item_col: str = "item_id", run: int = 30) -> DataFrame:
+    """Per row ``id``, ``th``, ``items`` (leaked benchmark items, sorted), ``share`` (most of an item's tokens found), ``contaminated``.
 
-    A document leaks an item when at least ``share`` of the item's ``window``-token windows stand in it close together and their placeholders
-    correspond. An item of fewer tokens is one window; an item without tokens, or null, leaks nowhere; null text leaks nothing; equal rows
+    A document leaks an item when ``window``-token windows of the item stand in it close together, their placeholders correspond, and they cover at
+    least ``share`` of the item's tokens or ``run`` tokens in a row, so that edited items and excerpts of long ones count. An item of fewer tokens is one window; an item without tokens, or null, leaks nowhere; null text leaks nothing; equal rows
     get equal results. The benchmark is taken in blocks of about ``block_items`` items, dealt by hash, so what a task holds is bounded
     however large it grows; each block is one pass over the documents, and blocks meet in one aggregation.
     """
@@ -179,7 +197,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, window: int = 5, share: floa
     arrow, out = to_arrow_type(item_kind), None
     for k in range(blocks):
         rows = [(r["item"], r["text"]) for r in bench.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
-        part = docs.select("id", "th", "text").mapInArrow(match_rows(Items(rows, window), share, arrow),
+        part = docs.select("id", "th", "text").mapInArrow(match_rows(Items(rows, window, run), share, arrow),
                                                           f"id {id_type(docs)}, th long, items array<{item_kind.simpleString()}>, share double")
         out = part if out is None else out.unionByName(part)
     if blocks > 1:

@@ -174,6 +174,18 @@ def test_leaks(documents, spark):
     assert mixed_up != item
 
 
+def test_leaks_of_edited_items(documents, spark):
+    item = "Farmer John has 12 apples and gives 5 kg of them to Mary before noon today"
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("ale", "ore", "ine", "une", "ate")]
+    edited = " ".join({10: "other", 20: "changed"}.get(k, w) for k, w in enumerate(words))
+    long = " ".join(f"{a}{w}" for a in "klmnpr" for w in words)
+    bench = spark.createDataFrame([(1, item), (2, " ".join(words)), (3, long)], "item_id long, text string")
+    rows = [(1, "So. " + item.replace("12", "6").replace("5 kg", "6 kg")), (2, "So. " + edited + " and more"), (3, "So. " + " ".join(long.split()[50:90]) + " and more"),
+            (4, "So. " + " ".join(long.split()[50:70]) + " and more"), (5, " ".join(w if k % 5 else "x" for k, w in enumerate(words)))]
+    out = {r["id"]: r["items"] for r in decontaminate.find_leaks(documents(rows), bench).collect()}
+    assert out == {1: [1], 2: [2], 3: [3], 4: [], 5: []}
+
+
 def test_leaks_of_the_table(spark):
     """Every document that holds an item word for word is found, and none that shares less than half of any item's runs."""
     docs = spark.read.parquet(f"{SF01}/documents.parquet").collect()
