@@ -76,27 +76,35 @@ def windows(x: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """Templates of a bounded block of benchmark items, with one table of all their windows."""
 
-    def __init__(self, rows: list[tuple], size: int, run: int = 30):
+    def __init__(self, rows: list[tuple], size: int, run: int = 30, min_plain: int = 3):
         tokens = Tokens()
         self.size, self.run = size, run
         self.ids = [r[0] for r in rows]
         self.literal = [template((r[1] or "").encode(), tokens) for r in rows]
         self.values = [self._values((r[1] or "").encode(), tokens) for r in rows]
-        found: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-        for i, (plain, typed, _) in enumerate(self.literal):
+        # By number of tokens and whether windows are of values as they stand, not of the template.
+        found: dict[tuple[int, bool], list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for i, (plain, typed, kind) in enumerate(self.literal):
             n = min(size, len(plain))
-            for form in (plain, typed) if n else ():
+            if not n:
+                continue
+            few = (kind == PLAIN).sum() < min_plain
+            whole = windows(self.values[i], n)
+            for form, word in ((plain, (kind == PLAIN) | (kind == NAME)), (typed, kind == PLAIN)):
                 w = windows(form, n)
-                found.setdefault(n, []).append((i, w, np.arange(len(w))))
+                weak = few | (np.convolve(word, np.ones(n, int), "valid") < min(2, n))
+                for literal, own, at in ((False, w, np.flatnonzero(~weak)), (True, whole, np.flatnonzero(weak))):
+                    if len(at):
+                        found.setdefault((n, literal), []).append((i, own[at], at))
         self.tables = {}
-        for n, parts in found.items():
+        for key, parts in found.items():
             w = np.concatenate([p[1] for p in parts])
             item = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
             at = np.concatenate([p[2] for p in parts])
             w, first = np.unique(np.stack([w, item.astype(np.uint64), at.astype(np.uint64)], 1), axis=0, return_index=True)
             bits = np.zeros(1 << 20, bool)
             bits[(w[:, 0] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables[n] = (np.ascontiguousarray(w[:, 0]), w[:, 1].astype(np.int64), w[:, 2].astype(np.int64), bits)
+            self.tables[key] = (np.ascontiguousarray(w[:, 0]), w[:, 1].astype(np.int64), w[:, 2].astype(np.int64), bits)
 
     @staticmethod
     def _values(text: bytes, tokens: Tokens) -> np.ndarray:
@@ -107,8 +115,8 @@ class Items:
         """Items of which windows with at least ``share`` of the tokens, or a run of ``run`` tokens, stand in the text close together, with their share."""
         plain, typed, kind = template(text, tokens)
         hits: dict[int, list[tuple[int, int]]] = {}
-        for n, (table, item, at, bits) in self.tables.items():
-            for form in (plain, typed):
+        for (n, literal), (table, item, at, bits) in self.tables.items():
+            for form in (self._values(text, tokens),) if literal else (plain, typed):
                 w = windows(form, n)
                 maybe = np.flatnonzero(bits[(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
                 if not len(maybe):
@@ -180,11 +188,12 @@ def match_rows(items: Items, share: float, kind: pa.DataType):
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, block_items: int = 20_000, id_col: str = "doc_id",
-               text_col: str = "text", item_col: str = "item_id", run: int = 30) -> DataFrame:
+               text_col: str = "text", item_col: str = "item_id", run: int = 30, min_plain: int = 3) -> DataFrame:
     """Per row ``id``, ``th``, ``items`` (leaked benchmark items, sorted), ``share`` (most of an item's tokens found), ``contaminated``.
 
     A document leaks an item when ``window``-token windows of the item stand in it close together, their placeholders correspond, and they cover at
-    least ``share`` of the item's tokens or ``run`` tokens in a row, so that edited items and excerpts of long ones count. An item of fewer tokens is one window; an item without tokens, or null, leaks nowhere; null text leaks nothing; equal rows
+    least ``share`` of the item's tokens or ``run`` tokens in a row, so that edited items and excerpts of long ones count. Windows with less than two words
+    beside placeholders, and all of an item with less than ``min_plain`` such words, are compared by their values as they stand. An item of fewer tokens is one window; an item without tokens, or null, leaks nowhere; null text leaks nothing; equal rows
     get equal results. The benchmark is taken in blocks of about ``block_items`` items, dealt by hash, so what a task holds is bounded
     however large it grows; each block is one pass over the documents, and blocks meet in one aggregation.
     """
@@ -197,7 +206,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, window: int = 5, share: floa
     arrow, out = to_arrow_type(item_kind), None
     for k in range(blocks):
         rows = [(r["item"], r["text"]) for r in bench.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
-        part = docs.select("id", "th", "text").mapInArrow(match_rows(Items(rows, window, run), share, arrow),
+        part = docs.select("id", "th", "text").mapInArrow(match_rows(Items(rows, window, run, min_plain), share, arrow),
                                                           f"id {id_type(docs)}, th long, items array<{item_kind.simpleString()}>, share double")
         out = part if out is None else out.unionByName(part)
     if blocks > 1:

@@ -186,6 +186,14 @@ def test_leaks_of_edited_items(documents, spark):
     assert out == {1: [1], 2: [2], 3: [3], 4: [], 5: []}
 
 
+def test_leaks_of_items_without_words(documents, spark):
+    bench = spark.createDataFrame([(1, "42"), (2, "12 + 7 = 19"), (3, "Peter Pan Wendy 4 5 6"), (4, "Count these: " + " ".join(map(str, range(100, 140))))], "item_id long, text string")
+    rows = [(1, "It has 41 of them"), (2, "It has 42 of them"), (3, "In 3 4 5 rows"), (4, "So 12 + 7 = 19."), (5, "So Anna Lee Maria 7 8 9 now"), (6, "so peter pan wendy 4 5 6 now"),
+            (7, " ".join(map(str, range(500, 600)))), (8, "So " + " ".join(map(str, range(100, 140))))]
+    out = {r["id"]: r["items"] for r in decontaminate.find_leaks(documents(rows), bench).collect()}
+    assert out == {1: [], 2: [1], 3: [], 4: [2], 5: [], 6: [3], 7: [], 8: [4]}
+
+
 def test_leaks_of_the_table(spark):
     """Every document that holds an item word for word is found, and none that shares less than half of any item's runs."""
     docs = spark.read.parquet(f"{SF01}/documents.parquet").collect()
