@@ -15,15 +15,24 @@ TITLES = {"m": ["Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur"], "f": ["Mrs", "
 #: Given names by gender, for titled names in Latin script.
 GIVEN = {"m": ["Adam", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Lucas", "Martin", "Oscar", "Paul", "Simon", "Thomas", "Victor"],
          "f": ["Alma", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Irene", "Julia", "Laura", "Marta", "Nora", "Olga", "Paula", "Rosa", "Vera"]}
+#: What secrets of known services begin with; it stays.
+PREFIX = r"(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-)"
+_ANY = "[A-Za-z0-9+/]"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Each kind of entity as a pattern; the first that fits counts.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    "secret": r"[0-9a-f]{32,128}+(?![\w])",
+    "secret": r"(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![\w])",
+    # A known prefix, or 32 characters and more with digits and letters of both cases.
+    "key": rf"(?:{PREFIX}[A-Za-z0-9_-]{{16,255}}+|(?={_ANY}{{32}})(?={_ANY}{{0,127}}[0-9])(?={_ANY}{{0,127}}[A-Z])(?={_ANY}{{0,127}}[a-z]){_ANY}{{32,128}}+={{0,2}})(?![\w])",
+    "ipv6": rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w])",
-    "card": r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w])",
-    "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}+(?![\w])",
+    "card": r"(?:3[47]\d{2}[ -]\d{6}[ -]\d{5}|\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7})(?![\w])",
+    "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w])",
     "national": r"\d{3}-\d{2}-\d{4}(?![\w])",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w])",
+    # 3-3-4 digits; any grouping after a country code; France, Germany and Spain without one.
+    "phone": r"(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?=(?:[ .()-]{0,2}\d){8})\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,9})){1,5}"
+             r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8}|[6-9]\d{2}(?: \d{2}){3})(?![\w])",
     "name": "(?:" + "|".join(t for g in TITLES.values() for t in g) + r")\.? \p{Lu}\p{L}{1,40}+(?: \p{Lu}\p{L}{1,40}+)?",
 }
 PATTERN = r"(?<![\w.%@-])(?:" + "|".join(KINDS.values()) + ")"
@@ -55,8 +64,12 @@ def surrogate(value: Column, kind: Column, digest: Column) -> Column:
                      F.substring(host, F.length(F.substring_index(host, ".", 1)) + 1, F.length(host)))
     ip = F.concat_ws(".", F.lit("10"), *((F.pmod(number(1 + 8 * i), F.lit(254)) + 1).cast("string") for i in range(3)))
     hexed = F.concat(F.substring(digest, F.lit(1), F.length(value)), F.substring(F.sha2(digest, 512), F.lit(1), F.greatest(F.lit(0), F.length(value) - 128)))
-    # The leading digit of a card and the country code of a phone number or account are no secrets and keep the format valid.
+    hexed = F.when(value.rlike("^[0-9]*[A-F]"), F.upper(hexed)).otherwise(hexed)
+    cased = lambda c, x: F.when(c.rlike("[A-F]"), F.upper(x)).otherwise(x)
+    ipv6 = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c == ":", c).otherwise(cased(c, F.substring(digest, i + 1, F.lit(1))))), "")
+    # The leading digit of a card, a key's prefix and the country code of a phone number or account are no secrets and keep the format valid.
     head = F.when(kind == "card", F.substring(value, 1, 1)).when(kind == "iban", F.substring(value, 1, 2)).when(
+        kind == "key", F.regexp_extract(value, "^" + PREFIX, 0)).when(
         kind == "phone", F.regexp_extract(value, r"^\+\d{1,3}[ .-]?", 0)).otherwise("")
     other = F.concat(head, substituted(F.substring(value, F.length(head) + 1, F.length(value)), digest))
     title = F.regexp_extract(value, r"^[^ ]+ ", 0)
@@ -66,7 +79,7 @@ def surrogate(value: Column, kind: Column, digest: Column) -> Column:
     last = F.initcap(F.concat(*(F.element_at(syllables, F.pmod(number(9 + 6 * i), F.lit(50)) + 1) for i in range(3))))
     two = F.size(F.split(value, " ")) > 2
     name = F.concat(title, F.when(two, F.concat(F.when(female, given("f")).otherwise(given("m")), F.lit(" "))).otherwise(""), last)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", hexed).when(kind == "name", name).otherwise(other)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "secret", hexed).when(kind == "name", name).otherwise(other)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
