@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm import (decontaminate, gam, line_dedup, oracles, packing, quality_rules, substring, suffix_array, superminhash, surrogates,
-                            token_store)
+from bundlelens.llm import (conversation_repair, decontaminate, gam, hard_negatives, line_dedup, mixing, oracles, packing, quality_rules, substring,
+                            suffix_array, superminhash, surrogates, token_store)
 from bundlelens.session import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,22 @@ def op10(spark, sf_dir):
     return named(token_store.checksums(token_store.read_store(spark, path)), "start", "n_tokens", "ids_crc32")
 
 
+def op11(spark, sf_dir):
+    return named(mixing.plan(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeat=3), "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op12(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    out = conversation_repair.report(conversation_repair.damage(rows), every=rows)
+    return out.withColumnRenamed("conv", "conv_id")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -76,7 +92,8 @@ def pipeline(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_suffix_array": op1, "op2_substring": op2, "op3_quality_rules": op3, "op4_line_dedup": op4, "op5_quality_gam": op5, "op6_superminhash": op6,
-            "op7_best_fit": op7, "op8_surrogates": op8, "op9_decontaminate": op9, "op10_token_store": op10, "pipeline": pipeline}
+            "op7_best_fit": op7, "op8_surrogates": op8, "op9_decontaminate": op9, "op10_token_store": op10, "op11_mixing": op11,
+            "op12_hard_negatives": op12, "op13_conversation_repair": op13, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
