@@ -29,4 +29,38 @@ smallest AS (SELECT reach.c, min(k.least) AS least FROM reach JOIN classes k ON
 SELECT doc_id, n AS n_shingles, coalesce(least, doc_id) AS component_id, doc_id = coalesce(least, doc_id) AS kept FROM named LEFT JOIN smallest USING (c)
 """
 
-SQL = {"op2_substring": SUBSTRING, "op6_superminhash": NEAR_DUPLICATES}
+#: Targets by the order in which sources reach their limits; draws from the same hash of id, text and number among equal rows.
+MIXING = r"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t, source) AS k FROM d),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+placed AS (SELECT source, source_size, 3 * source_size AS most, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight FROM sources),
+line AS (SELECT *, coalesce(sum(most) OVER earlier, 0)::BIGINT AS most_before, coalesce(sum(weight) OVER earlier, 0)::BIGINT AS weight_before,
+                sum(source_size) OVER ()::BIGINT AS words, sum(weight) OVER ()::BIGINT AS weights FROM placed
+         WINDOW earlier AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT *, (words - most_before)::DOUBLE / (weights - weight_before) AS level FROM line),
+goal AS (SELECT source, source_size, least(coalesce((SELECT min_by(level, most / weight) FROM levels WHERE most >= weight * level) * weight, most), most)::DOUBLE AS target FROM levels),
+rated AS (SELECT n.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS rate,
+                 ('0x' || substring(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || t || '|' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE AS u
+          FROM numbered n JOIN goal g ON n.source IS NOT DISTINCT FROM g.source),
+copied AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM rated)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, source, copies FROM copied
+"""
+
+#: Products of small whole numbers are exact in doubles.
+HARD_NEGATIVES = r"""
+WITH r AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+           FROM r a, r b WHERE a.vec_id % 50 = 0 AND a.row <> b.row),
+positives AS (SELECT anchor, anchor_id, row, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+WINDOW best AS (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER best <= 3
+"""
+
+SQL = {"op11_mixing": MIXING, "op12_hard_negatives": HARD_NEGATIVES, "op2_substring": SUBSTRING, "op6_superminhash": NEAR_DUPLICATES}
