@@ -7,10 +7,9 @@ and worst k are top-k selections; neither gathers the leaderboard in one task.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bundlelens.functions import numeric as num
-from bundlelens.functions.ordering import count_before
+from bundlelens.functions.ordering import sums_before
 from bundlelens.operators.filters import having_min_group
 from bundlelens.operators.segments import CLTV, CONVERTED, by_desc, rate_measures
-from bundlelens.session import hold
 
 GRAIN = ["agent_id", "agency_channel", "region", "state"]
 
@@ -18,16 +17,17 @@ GRAIN = ["agent_id", "agency_channel", "region", "state"]
 def _ranked(board: DataFrame, ranks: dict[str, str]) -> DataFrame:
     """Add a descending rank per measure.
 
-    All measures are ranked in one pass over (measure, value) lines, which are then folded back to rows. The
-    grouped rows are held first, as they are read twice.
+    All measures are ranked in one pass over (measure, value) lines, which are then folded back to rows. Counting the rows by all
+    their columns makes lines and ranks read the same groups, so the plan groups the households once for both.
     """
-    held = hold(board)
-    pairs = F.array(*[F.struct(F.lit(c).alias("_measure"), F.col(c).cast("double").alias("_value")) for c in ranks])
-    lines = held.select("*", F.inline(pairs))
-    places = count_before(lines.select("_measure", "_value"), "_value", descending=True, within=("_measure",))
-    return (lines.join(places.select("_measure", "_value", "before"), ["_measure", "_value"])
-            .groupBy(*held.columns).agg(
-                *[F.max(F.when(F.col("_measure") == c, F.col("before") + 1)).alias(name) for c, name in ranks.items()]))
+    counted = board.groupBy(*board.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    pairs = ", ".join(f"struct('{c}' as _measure, double({c}) as _value)" for c in ranks)
+    lines = counted.select("*", F.expr(f"inline(array({pairs}))"))
+    levels = lines.groupBy("_measure", "_value").agg(F.sum("_rows").alias("n"))
+    places = sums_before(levels, "_value", ["n"], descending=True, within=("_measure",))
+    return (lines.join(places.select("_measure", "_value", "n_before"), ["_measure", "_value"])
+            .groupBy(*counted.columns).agg(*[F.expr(f"max(n_before + 1) filter (where _measure = '{c}')").alias(name) for c, name in ranks.items()])
+            .drop("_rows"))
 
 
 def agent_leaderboard_sql(df: DataFrame, min_households: int = 50) -> DataFrame:
@@ -115,8 +115,7 @@ def _mean_of_first(rows: DataFrame, order: list[Column], k: int) -> Column:
 
 
 def _gap(rows: DataFrame, best: list[Column], worst: list[Column], k: int) -> DataFrame:
-    # Three readings of the same group rows: held, so the fact is grouped once.
-    rows = hold(rows)
+    # Three readings of the same group rows, which the plan shares.
     top, bottom = _mean_of_first(rows, best, k), _mean_of_first(rows, worst, k)
     # Rates have two decimals, so the percentile buffers at most 10,001 distinct values.
     return rows.agg(F.percentile("rate_pct", F.lit(0.5)).alias("median")).select(

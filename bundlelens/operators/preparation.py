@@ -2,7 +2,7 @@
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bundlelens import schema as S
 from bundlelens.functions import numeric as num
@@ -181,14 +181,18 @@ def agents_per_channel(df: DataFrame) -> DataFrame:
 FILTER_COLUMNS = ["agency_channel", "anchor_product", "policy_tier", "home_ownership", "region", "state", "year"]
 
 
-def filter_domains(df: DataFrame, columns: list[str] = FILTER_COLUMNS, ranged: str = "tenure_months") -> DataFrame:
+def filter_domains(df: DataFrame, columns: list[str] = FILTER_COLUMNS, ranged: str = "tenure_months", max_values: int = 1000) -> DataFrame:
     """Choices offered by each filter: sorted distinct values, and the least and greatest tenure.
 
-    Rows (filter_column, position, value). The sets hold the handful of values of a coded column.
+    Rows (filter_column, position, value). Values are grouped per column before they are put in order. A column with more than
+    ``max_values`` of them is no filter of coded values and is an error that names it; no task sorts more than that.
     """
-    sets = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns],
-                  F.array(F.min(ranged), F.max(ranged)).cast("array<string>").alias(ranged))
-    pairs = F.array(*[F.struct(F.lit(c).alias("filter_column"), F.col(c).alias("vals")) for c in [*columns, ranged]])
-    return (sets.select(F.inline(pairs))
-            .select("filter_column", F.posexplode("vals").alias("position", "value"))
-            .withColumn("position", F.col("position").cast("bigint")))
+    pairs = F.array(*[F.struct(F.lit(c).alias("filter_column"), F.col(c).cast("string").alias("value")) for c in columns])
+    seen = df.select(F.inline(pairs)).filter("value is not null").groupBy("filter_column", "value").agg(F.lit(1).alias("_one"))
+    place = F.row_number().over(Window.partitionBy("filter_column").orderBy("value"))
+    too_many = F.raise_error(F.concat(F.col("filter_column"), F.lit(f" has more than {max_values} values")))
+    listed = (seen.withColumn("_place", place).filter(F.col("_place") <= max_values + 1)
+              .select("filter_column", F.when(F.col("_place") > max_values, too_many).otherwise(F.col("_place") - 1).cast("bigint").alias("position"), "value"))
+    ends = (df.agg(F.array(F.min(ranged), F.max(ranged)).cast("array<string>").alias("ends"))
+            .select(F.lit(ranged).alias("filter_column"), F.posexplode("ends").alias("position", "value")).withColumn("position", F.col("position").cast("bigint")))
+    return listed.unionByName(ends)

@@ -3,7 +3,6 @@
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bundlelens import schema as S
 from bundlelens.functions import numeric as num
 from bundlelens.functions.mapping import lookup
+from bundlelens.functions.ordering import sums_before
 from bundlelens.session import shared_dir
 
 
@@ -76,11 +76,19 @@ def score_households(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def model_auc(scored: DataFrame, score: str = "model_prob", label: str = S.TARGET) -> DataFrame:
-    """Area under the ROC curve over all distinct scores, with the counts behind it."""
-    ready = scored.select(F.col(score).alias("rawPrediction"), F.col(label).cast("double").alias("label"))
-    area = BinaryClassificationEvaluator(numBins=0).evaluate(ready)
-    return (scored.agg(num.rows().alias("households"), num.total(label).alias("converted"))
-            .withColumn("auc", F.lit(float(area))))
+    """Area under the ROC curve, with the counts behind it; null without rows of both classes.
+
+    The area is the share of (converted, not converted) pairs that the score puts in order, half for ties: per distinct score, its
+    converted rows times the others below it. All counts are whole numbers, so the digits don't depend on the order of
+    addition. A row without a score or label counts as a household only.
+    """
+    known = scored.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+    levels = known.groupBy(score).agg(num.total(label).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    pairs = F.col("p").cast("decimal(20,0)") * (2 * F.col("q_before") + F.col("q")).cast("decimal(18,0)")
+    area = sums_before(levels, score, ["p", "q"]).agg(
+        F.sum(pairs).cast("double").alias("in_order"), (2.0 * F.max("p_total").cast("double") * F.max("q_total").cast("double")).alias("all"))
+    area = area.select(F.try_divide("in_order", "all").alias("auc"))
+    return scored.agg(num.rows().alias("households"), num.total(label).alias("converted")).withColumn("auc", area.scalar())
 
 
 def confusion(scored: DataFrame, prediction: str = "prediction", label: str = S.TARGET) -> DataFrame:

@@ -1,12 +1,13 @@
 """What the physical plans must show: pushdown, pruning, shared exchanges, early limits, no whole-table sort."""
 
 import re
+from uuid import uuid4
 
 import pytest
 from pyspark.sql import functions as F
 
-from bundlelens.functions.ordering import count_before, quantile_deciles
-from bundlelens.operators import campaigns, deciles, filters, quarters, segments, states
+from bundlelens.functions.ordering import _range_of, count_before, exact_ntile, quantile_deciles
+from bundlelens.operators import agents, campaigns, deciles, filters, propensity, quarters, segments, states
 from bundlelens.sources.households import order_households, stored_households
 from conftest import SF001
 
@@ -44,9 +45,12 @@ def test_cohort_quarters_prune_folders(fact):
 
 def test_two_sided_reports_still_scan_once(fact):
     rows = quantile_deciles(fact, "propensity_score")
-    for df in (quarters.channel_quarter_grid(fact), deciles.decile_profile(rows), deciles.lift_table(rows),
-               states.state_vs_portfolio(fact), quarters.yoy_channel(fact)):
+    for df in (quarters.channel_quarter_grid(fact), states.state_vs_portfolio(fact), quarters.yoy_channel(fact)):
         assert planned(df).count("FileScan") == 1
+    # The edges read the score alone.
+    for df in (deciles.decile_profile(rows), deciles.lift_table(rows)):
+        scans = [x for x in planned(df).splitlines() if "FileScan" in x]
+        assert sum("ReadSchema: struct<propensity_score:double>" not in x for x in scans) == 1
 
 
 def test_one_scan_and_one_small_shuffle_per_grouped_report(fact):
@@ -63,8 +67,42 @@ def test_top_rows_are_limited_before_each_shuffle(fact):
 def test_counting_before_shares_its_groups(fact):
     plan = finished(count_before(fact.select("propensity_score"), "propensity_score", descending=True))
     assert "ReusedExchange" in plan
-    # The only single-task step runs over slice totals.
-    assert plan.count("SinglePartition") == 1 and plan.index("_slice") < plan.index("SinglePartition")
+    # The only single-task step runs over the ranges' sums.
+    assert plan.count("SinglePartition") == 1 and plan.index("_range") < plan.index("SinglePartition")
+
+
+def started(spark, make):
+    """What ``make`` returns, and the number of jobs that ran meanwhile."""
+    spark.sparkContext.setJobGroup(group := f"lazy-{uuid4().hex}", "")
+    try:
+        made = make()
+        return made, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_orderings_start_no_job(spark, fact):
+    rows = fact.select("household_id", "propensity_score")
+    for make in (lambda: exact_ntile(rows, "propensity_score", "household_id"), lambda: quantile_deciles(rows, "propensity_score"),
+                 lambda: deciles.score_deciles(fact), lambda: agents.agent_leaderboard(fact, 5), lambda: agents.agent_leaderboard_sql(fact, 5),
+                 lambda: agents.agent_gap_sql(fact, 5), lambda: propensity.model_auc(fact, "propensity_score")):
+        df, jobs = started(spark, make)
+        assert jobs == 0
+        assert started(spark, df.collect)[1] > 0
+
+
+def test_a_leaderboard_groups_the_households_once(fact):
+    plan = finished(agents.agent_leaderboard(fact, 5))
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("low, high", [(0.0, 1.0), (0.4, 0.6), (1e-7, 1e-6), (-3.0, 5e6)])
+def test_a_continuous_score_spreads(spark, low, high):
+    """No range holds more than a task's fair share of the distinct values."""
+    n, width = 200_000, 200
+    values = spark.range(n).select((F.lit(low) + F.rand(3) * (high - low)).alias("s"))
+    sizes = [r["count"] for r in values.groupBy(_range_of(F.col("s")).alias("r")).count().collect()]
+    assert len(sizes) > 5 * width and max(sizes) <= n / width
 
 
 def test_line_counts_are_combined_before_the_shuffle(spark):
