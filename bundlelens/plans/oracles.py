@@ -201,7 +201,14 @@ def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
 
     # preparation
-    o["scan_households"] = _q(f"select {dated(S.HOUSEHOLD_COLUMNS)} from h")
+    number = "substr(household_id,4)::bigint"
+    bad_age, bad_date = f"{number}%{R.BAD_AGE_EVERY}=0", f"{number}%{R.BAD_DATE_EVERY}=0"
+    o["scan_households"] = _q(f"""select {dated(S.HOUSEHOLD_COLUMNS)}, 'parquet' read_from from h
+ union all select {dated(S.HOUSEHOLD_COLUMNS)}, 'csv' from h where not ({bad_age}) and not ({bad_date})""")
+    o["scan_rejects"] = _q(f"""select household_id, case when {bad_age} then 'unknown' else age_of_primary::varchar end age_of_primary,
+ case when {bad_date} then '2023-02-30' else strftime(snapshot_date,'%Y-%m-%d') end snapshot_date,
+ case when {bad_age} and {bad_date} then 'snapshot_date,age_of_primary' when {bad_age} then 'age_of_primary' else 'snapshot_date' end bad_columns
+ from h where {bad_age} or {bad_date}""")
     o["write_snapshot"] = _q(f"select quarter, {vol('rate_pct')}, {msum(CLTV)} total_cltv from b group by quarter")
     o["dataset_profile"] = _q(f"""select '{S.TARGET}' target_variable, count(*) n_rows, {r(ratio(HITS, 'count(converted_mphh)'), 4)} conversion_rate,
  '{cols.replace(', ', ',')}' as columns, '{','.join(S.LEAKAGE_COLUMNS)}' leakage_columns, '{','.join(S.FINANCIAL_COLUMNS)}' financial_columns from h""")
@@ -366,6 +373,20 @@ def oracle_sql() -> dict[str, str]:
     o["confusion"] = _q(f"""select {tn} tn, {fp} fp, {fn_} fn, {tp} tp, coalesce({ratio(f'{tn}+{tp}', N)},0) accuracy,
  coalesce({ratio(tp, f'{tp}+{fp}')},0) as precision, coalesce({ratio(tp, f'{tp}+{fn_}')},0) recall from h""")
     o["quantile_deciles"] = _q("select decile, count(*) households, min(propensity_score) min_score, max(propensity_score) max_score from d group by 1", *_DECILED)
+    lowest = _HASH.format("'train-42-'||converted_mphh||'-'||household_id")
+    train = f"train as (select *, count(*) over () n from h where {spot}>={int(0.2 * 2**32)})"
+    most = float(R.MAX_TRAIN_ROWS)
+    share = f"floor({max(1.0, most - 4.0 * most ** 0.5)!r}::double/n::double*4294967296::double)::bigint"
+    o["train_gbt"] = _q(f"""select count(*) training_rows, {HITS} training_converted, 80::int trees, 4::int depth, {len(S.FEATURES)}::int features
+ from train where n<={R.MAX_TRAIN_ROWS} or {lowest}<{share}""", train)
+    o["score_households"] = _q(f"""select household_id, agency_channel, tenure_months, projected_mphh_cltv, converted_mphh,
+ case when {spot}<{int(0.2 * 2**32)} then 'test' else 'train' end split, quarter, true is_probability, true class_follows from b""")
+    o["model_auc"] = _q(f"""select (select count(*) from h) households, (select {HITS} from h) converted,
+ sum(p*(2*(coalesce(sum_q,0))+q))::double/(2::double*sum(p)::double*sum(q)::double) auc
+ from (select p, q, sum(q) over (order by propensity_score rows between unbounded preceding and 1 preceding) sum_q from
+  (select propensity_score, {HITS} p, count(*) filter (converted_mphh=0) q from h group by 1))""")
+    o["feature_importance"] = "select * from (values " + ", ".join(
+        f"('{f}', '{S.FEATURE_LABELS[f]}', true, true, {len(S.FEATURES)}::bigint)" for f in S.FEATURES) + ") t(feature, label, is_share, sum_is_one, features)"
     o["leakage_guard"] = _q(_filled(S.HOUSEHOLD_COLUMNS, "h", "allowed"))
 
     # benchmark dashboard

@@ -15,8 +15,8 @@ from bundlelens.functions.ordering import quantile_deciles
 from bundlelens.operators import agents, campaigns, deciles, filters, funnel, preparation as prep, propensity
 from bundlelens.operators import quarters, segments, states
 from bundlelens.session import shared_dir
-from bundlelens.sources.households import order_households, stored_households
-from bundlelens.sources.snapshots import read_snapshot, write_snapshot
+from bundlelens.sources.households import order_households, scan_households, scan_rejects, stored_households, tables_mark
+from bundlelens.sources.snapshots import folders_in, latest_snapshot, read_snapshot, write_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,11 +52,39 @@ def _date_text(df: DataFrame) -> DataFrame:
 
 def _written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/snapshots/{uuid4().hex}"
-    write_snapshot(order_households(spark, sf_dir).select(*S.BENCHMARK_COLUMNS), path, by="quarter")
-    back = read_snapshot(spark, path, S.BENCHMARK_SCHEMA)
+    mark = tables_mark(spark, sf_dir)
+    write_snapshot(order_households(spark, sf_dir).select(*S.BENCHMARK_COLUMNS), path, by="quarter", source=mark)
+    back = read_snapshot(spark, path, S.BENCHMARK_SCHEMA, source=mark)
     return back.groupBy("quarter").agg(*segments.volume("rate_pct"), num.money_sum("projected_mphh_cltv").alias("total_cltv"))
 
 
+# Every so manieth household gets a cell in the CSV files that isn't of its column's type.
+BAD_AGE_EVERY, BAD_DATE_EVERY = 50, 70
+
+
+def _csv_with_bad_cells(spark: SparkSession, sf_dir: str) -> str:
+    """The households as CSV text in the shared folder, some with a bad cell."""
+    path = f"{shared_dir(spark)}/snapshots/{uuid4().hex}"
+    number = F.substring("household_id", 4, 20).cast("bigint")
+    text = households(spark, sf_dir).select(*[F.col(c).cast("string").alias(c) for c in S.HOUSEHOLD_COLUMNS])
+    write_snapshot(text.withColumns({"age_of_primary": F.when(number % BAD_AGE_EVERY == 0, "unknown").otherwise(F.col("age_of_primary")),
+                                     "snapshot_date": F.when(number % BAD_DATE_EVERY == 0, "2023-02-30").otherwise(F.col("snapshot_date"))}), path, fmt="csv")
+    return path
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The household fact as the reader gives it from Parquet and from CSV files with bad cells."""
+    path = f"{shared_dir(spark)}/snapshots/{uuid4().hex}"
+    write_snapshot(_view(spark, sf_dir), path)
+    both = [_date_text(scan_households(spark, p, fmt)).withColumn("read_from", F.lit(fmt))
+            for fmt, p in (("parquet", path), ("csv", _csv_with_bad_cells(spark, sf_dir)))]
+    return both[0].unionByName(both[1])
+
+
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_rejects(spark, _csv_with_bad_cells(spark, sf_dir), "csv").select("household_id", "age_of_primary", "snapshot_date", "bad_columns")
+
+
 def _profile(df: DataFrame) -> DataFrame:
     wide = prep.dataset_profile(df)
     return wide.withColumns({c: F.array_join(c, ",") for c in ("columns", "leakage_columns", "financial_columns")})
@@ -84,35 +112,63 @@ def _predicted_by_score(df: DataFrame) -> DataFrame:
 
 class Fitted(NamedTuple):
     model: PipelineModel
-    scored: str        # folder of the scored test rows
+    scored: str        # folder of the scored households
 
 
+#: Rows the registered fit reads at most; every household is scored.
+MAX_TRAIN_ROWS = 100_000
 _fitted: dict[tuple[str, str], Fitted] = {}
 _fitting = Lock()
+SCORED_COLUMNS = ["household_id", "agency_channel", "tenure_months", "projected_mphh_cltv", "converted_mphh", "split"]
 SCORED_SCHEMA = ("household_id string, agency_channel string, tenure_months int, projected_mphh_cltv double, "
-                 "converted_mphh int, model_prob double, prediction int")
+                 "converted_mphh int, split string, model_prob double, prediction int, quarter string")
+
+
+def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.add_quarter_year(propensity.stratified_split(propensity.encode_features(households(spark, sf_dir))))
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> Fitted:
-    """Fit once per session and table folder. Test rows are scored once, into a table in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Fit once for the order tables; the saved model and the scores of all households, by quarter, serve every session that shares the folder.
+
+    A score table that isn't what its manifest says is written anew with the saved model.
+    """
+    key, mark = (spark.sparkContext.applicationId, sf_dir), tables_mark(spark, sf_dir)
+    home = f"{shared_dir(spark)}/model/{mark}"
     with _fitting:
-        if key not in _fitted:
-            rows = propensity.stratified_split(propensity.encode_features(households(spark, sf_dir)))
-            model = propensity.train_gbt(rows.filter("split = 'train'"))
-            names = [f.split()[0] for f in SCORED_SCHEMA.split(", ")]
-            path = f"{shared_dir(spark)}/scored/{uuid4().hex}"
-            write_snapshot(propensity.score_households(model, rows.filter("split = 'test'")).select(*names), path)
-            _fitted[key] = Fitted(model, path)
-    return _fitted[key]
+        if key in _fitted and latest_snapshot(spark, f"{home}/scored", mark) == _fitted[key].scored:
+            return _fitted[key]
+        rows = _split_rows(spark, sf_dir)
+        saved = latest_model(spark, home)
+        if saved is None:
+            model = propensity.train_gbt(rows.filter("split = 'train'"), max_train_rows=MAX_TRAIN_ROWS)
+            propensity.save_model(model, f"{home}/fit-{uuid4().hex}", source=mark)
+        else:
+            model = saved
+        path = latest_snapshot(spark, f"{home}/scored", mark)
+        if path is None:
+            path = propensity.write_scores(model, rows, f"{home}/scored/{uuid4().hex}", SCORED_COLUMNS, source=mark)
+        _fitted[key] = Fitted(model, path)
+        return _fitted[key]
+
+
+def latest_model(spark: SparkSession, home: str) -> PipelineModel | None:
+    """A model that a session has saved for these tables, if it is whole and fits today's features and codes."""
+    for path in folders_in(spark, home):
+        if "/fit-" in path:
+            try:
+                return propensity.load_model(spark, path)[0]
+            except (ValueError, AnalysisException):
+                continue
+    return None
+
+
+def scored_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_snapshot(spark, fitted(spark, sf_dir).scored, SCORED_SCHEMA, source=tables_mark(spark, sf_dir))
 
 
 def scored_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    try:
-        return read_snapshot(spark, fitted(spark, sf_dir).scored, SCORED_SCHEMA)
-    except AnalysisException:      # the shared folder was cleared meanwhile: fit and score again
-        _fitted.pop((spark.sparkContext.applicationId, sf_dir), None)
-        return read_snapshot(spark, fitted(spark, sf_dir).scored, SCORED_SCHEMA)
+    return scored_all(spark, sf_dir).filter("split = 'test'").drop("split", "quarter")
 
 
 def _model_deciled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +176,9 @@ def _model_deciled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was fitted: rounds, depth, features, and the rows it was fitted on."""
+    """What was fitted: the rows it was fitted on, rounds, depth, features."""
     gbt = fitted(spark, sf_dir).model.stages[-1]
-    rows = propensity.stratified_split(households(spark, sf_dir)).filter("split = 'train'")
+    rows = propensity.training_sample(propensity.stratified_split(households(spark, sf_dir)).filter("split = 'train'"), MAX_TRAIN_ROWS)
     return rows.agg(num.rows().alias("training_rows"), num.total(S.TARGET).alias("training_converted")).select(
         "*", F.lit(gbt.getNumTrees).alias("trees"), F.lit(gbt.getMaxDepth()).alias("depth"),
         F.lit(gbt.numFeatures).alias("features"))
@@ -136,7 +192,8 @@ def queries() -> dict[str, Query]:
 
     found: dict[str, Query] = {
         # preparation
-        "scan_households": _on(_view, _date_text),
+        "scan_households": _scanned,
+        "scan_rejects": _rejected,
         "write_snapshot": _written_and_read,
         "dataset_profile": _on(H, _profile),
         "schema_check": _on(B, prep.schema_check),
@@ -193,11 +250,14 @@ def queries() -> dict[str, Query]:
         "encode_features": _on(H, lambda h: propensity.encode_features(h).select("household_id", *S.FEATURES)),
         "stratified_split": _on(H, lambda h: propensity.stratified_split(h).select("household_id", "converted_mphh", "split")),
         "train_gbt": _model_summary,
-        "score_households": scored_test,
-        "model_auc": lambda spark, d: propensity.model_auc(scored_test(spark, d)),
+        "score_households": lambda spark, d: propensity.score_checks(scored_all(spark, d), [*SCORED_COLUMNS, "quarter"]),
+        "model_scores": scored_test,
+        "model_auc": _on(H, lambda h: propensity.model_auc(h, "propensity_score")),
+        "fitted_auc": lambda spark, d: propensity.model_auc(scored_test(spark, d)),
         "confusion": _on(H, lambda h: propensity.confusion(_predicted_by_score(h))),
         "model_confusion": lambda spark, d: propensity.confusion(scored_test(spark, d)),
-        "feature_importance": lambda spark, d: propensity.feature_importance(spark, fitted(spark, d).model),
+        "feature_importance": lambda spark, d: propensity.importance_checks(spark, fitted(spark, d).model),
+        "leading_features": lambda spark, d: propensity.feature_importance(spark, fitted(spark, d).model),
         "quantile_deciles": _on(H, lambda h: _deciled(h).groupBy("decile").agg(
             num.rows().alias("households"), F.min("propensity_score").alias("min_score"), F.max("propensity_score").alias("max_score"))),
         "model_lift_table": lambda spark, d: deciles.lift_table(_model_deciled(spark, d)),

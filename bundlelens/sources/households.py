@@ -3,7 +3,6 @@
 from threading import Lock
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bundlelens import schema as S
@@ -12,16 +11,57 @@ from bundlelens.functions.mapping import lookup
 from bundlelens.operators.preparation import (add_log_odds, add_propensity_tier, add_quarter_year,
                                               add_region, add_target, score_tenths)
 from bundlelens.session import shared_dir
-from bundlelens.sources.snapshots import read_snapshot, write_snapshot
+from bundlelens.sources.snapshots import latest_snapshot, source_mark, write_snapshot
 
 
-def scan_households(spark: SparkSession, path: str, fmt: str = "parquet", benchmark: bool = False) -> DataFrame:
-    """Read the household (or benchmark) fact with its fixed schema, from CSV with a header or from Parquet."""
-    reader = spark.read.schema(S.BENCHMARK_SCHEMA if benchmark else S.HOUSEHOLD_SCHEMA)
-    if fmt == "csv":
-        # enforceSchema=False checks the header against the schema instead of trusting column order.
-        return reader.option("header", True).option("enforceSchema", False).csv(path)
-    return reader.format(fmt).load(path)
+CORRUPT = "_corrupt"
+
+
+def _csv_text(spark: SparkSession, path: str, schema: S.T.StructType) -> DataFrame:
+    """The cells of CSV files as text, and the whole line where their number doesn't fit."""
+    text = S.T.StructType([S.T.StructField(f.name, S.T.StringType()) for f in schema] + [S.T.StructField(CORRUPT, S.T.StringType())])
+    # enforceSchema=False checks the header against the schema instead of trusting column order.
+    return (spark.read.schema(text).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+
+
+def _bad_columns(schema: S.T.StructType) -> F.Column:
+    """Names of the columns whose text has no value of the column's type, and ``line`` for too few or too many cells."""
+    wrong = lambda f: F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), f.name)
+    return F.array_compact(F.array(*[wrong(f) for f in schema], F.when(F.col(CORRUPT).isNotNull(), "line")))
+
+
+def scan_households(spark: SparkSession, path: str, fmt: str = "parquet", benchmark: bool = False, on_bad: str = "set_aside") -> DataFrame:
+    """Read the household (or benchmark) fact with its fixed schema, from CSV with a header or from Parquet.
+
+    A CSV row with a cell that isn't of its column's type, or with too few or too many cells, is set aside whole, whichever columns
+    a query uses (``scan_rejects`` has these rows), or with ``on_bad="fail"`` ends the query with its text. A missing column is an error.
+    """
+    schema = S.BENCHMARK_SCHEMA if benchmark else S.HOUSEHOLD_SCHEMA
+    if on_bad not in ("set_aside", "fail"):
+        raise ValueError("on_bad is 'set_aside' or 'fail'")
+    if fmt != "csv":
+        found = spark.read.format(fmt).load(path).columns
+        missing = [c for c in schema.fieldNames() if c not in found]
+        if missing:
+            raise ValueError(f"{path} has no columns {missing}")
+        return spark.read.schema(schema).format(fmt).load(path)
+    bad = _bad_columns(schema)
+    typed = F.array(F.struct(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema]))
+    text = F.concat(F.lit("bad cells in "), F.array_join(bad, ", "), F.lit(": "), F.concat_ws(",", *schema.fieldNames()))
+    # One step tests and casts a row: as a filter, the test would be repeated for every column's cast when plans are compared.
+    row = F.when(F.size(bad) == 0, typed)
+    return _csv_text(spark, path, schema).select(F.inline(row.otherwise(F.raise_error(text)) if on_bad == "fail" else row))
+
+
+def scan_rejects(spark: SparkSession, path: str, fmt: str = "parquet", benchmark: bool = False) -> DataFrame:
+    """The rows that ``scan_households`` sets aside: their columns as text, and ``bad_columns``, the columns at fault."""
+    schema = S.BENCHMARK_SCHEMA if benchmark else S.HOUSEHOLD_SCHEMA
+    if fmt != "csv":
+        none = scan_households(spark, path, fmt, benchmark).limit(0)
+        return none.select(*[F.col(c).cast("string").alias(c) for c in schema.fieldNames()], F.lit("").alias("bad_columns"))
+    cells = _csv_text(spark, path, schema)
+    return cells.select(*schema.fieldNames(), F.array_join(_bad_columns(schema), ",").alias("bad_columns")).filter("bad_columns <> ''")
 
 
 # Fixed values of the view: names assigned by remainder or prefix of an order's columns.
@@ -100,24 +140,32 @@ def order_households(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select(*S.BENCHMARK_COLUMNS, "year")
 
 
-_stored: dict[tuple[str, str], str] = {}
+_marks: dict[tuple[str, str], str] = {}
 _storing = Lock()
 STORED_SCHEMA = S.T.StructType(S.BENCHMARK_SCHEMA.fields + [S.T.StructField("year", S.T.StringType())])
+#: Goes up when the view gives other rows for the same tables.
+VIEW_VERSION = "1"
+
+
+def tables_mark(spark: SparkSession, sf_dir: str) -> str:
+    """Mark of the order tables, which are taken not to change during a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _marks:
+        _marks[key] = source_mark(spark, [f"{sf_dir}/{t}.parquet" for t in ("orders", "customer", "lineitem")], VIEW_VERSION)
+    return _marks[key]
 
 
 def stored_households(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view above as a table: built on first use in a session, then read by every query.
+    """The view above as a table: built once for its order tables, then read by every query of every session that shares the folder.
 
     The joins and the wide derivation run once instead of once per query. The table lies in the shared
-    folder in one folder per quarter, so queries read their columns, and their quarters, only. The order
-    tables are taken not to change during the session.
+    folder in one folder per quarter, so queries read their columns, and their quarters, only. It is trusted for its
+    manifest, not for its path: one that is unfinished, has lost a file or was made from other tables is built anew.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    mark = tables_mark(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/fact/{mark}"
     with _storing:
-        if key in _stored:
-            try:
-                return read_snapshot(spark, _stored[key], STORED_SCHEMA)
-            except AnalysisException:      # the shared folder was cleared meanwhile: build again
-                pass
-        _stored[key] = write_snapshot(order_households(spark, sf_dir), f"{shared_dir(spark)}/fact/{uuid4().hex}", by="quarter")
-        return read_snapshot(spark, _stored[key], STORED_SCHEMA)
+        path = latest_snapshot(spark, folder, mark)
+        if path is None:
+            path = write_snapshot(order_households(spark, sf_dir), f"{folder}/{uuid4().hex}", by="quarter", source=mark)
+        return spark.read.schema(STORED_SCHEMA).parquet(path)

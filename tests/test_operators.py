@@ -1,14 +1,17 @@
 import json
+from datetime import date
+from pathlib import Path
 
 import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from bundlelens import schema as S
 from bundlelens.operators import agents, campaigns, filters, funnel, preparation as prep, propensity, quarters, segments, states
 from bundlelens.plans import registry
 from bundlelens.sources import households
-from bundlelens.sources.households import scan_households, stored_households
-from bundlelens.sources.snapshots import write_profile, write_snapshot
+from bundlelens.sources.households import scan_households, scan_rejects, stored_households
+from bundlelens.sources.snapshots import SnapshotError, check_snapshot, read_snapshot, write_profile, write_snapshot
 from bundlelens.session import shared_dir
 from conftest import SF001
 
@@ -39,15 +42,97 @@ def test_profile_as_json(spark, tmp_path):
     assert record["leakage_columns"] == ["propensity_score", "propensity_tier"]
 
 
-def test_fact_is_built_once_and_again_when_its_folder_is_gone(spark, monkeypatch):
-    built = []
+@pytest.fixture
+def built(spark, monkeypatch, tmp_path):
+    """The stored fact in a folder of its own; the list of what was written there."""
+    paths = []
     real = households.write_snapshot
-    monkeypatch.setattr(households, "write_snapshot", lambda *a, **k: built.append(a[1]) or real(*a, **k))
-    monkeypatch.setattr(households, "_stored", {})
-    assert stored_households(spark, SF001).count() == stored_households(spark, SF001).count() == 1500
-    assert len(built) == 1
-    households._stored[next(iter(households._stored))] += "-gone"
+    monkeypatch.setattr(households, "write_snapshot", lambda *a, **k: paths.append(a[1]) or real(*a, **k))
+    monkeypatch.setattr(households, "shared_dir", lambda spark: str(tmp_path))
+    return paths
+
+
+def test_fact_is_built_once_for_all_sessions(spark, built, monkeypatch):
+    assert stored_households(spark, SF001).count() == 1500
+    monkeypatch.setattr(households, "_marks", {})      # what a session knows
+    other = spark.newSession()
+    assert stored_households(other, SF001).count() == 1500 and len(built) == 1
+
+
+@pytest.mark.parametrize("harm", ["lost", "changed", "added", "unfinished"])
+def test_a_damaged_fact_is_built_anew(spark, built, harm):
+    assert stored_households(spark, SF001).count() == 1500
+    folder = Path(built[0])
+    file = next(folder.glob("quarter=2024Q1/*.parquet"))
+    if harm == "lost":
+        file.unlink()
+    elif harm == "changed":
+        file.write_bytes(file.read_bytes() + b"x")
+    elif harm == "added":
+        (folder / "quarter=2024Q1" / "part-9.parquet").write_bytes(file.read_bytes())
+    else:
+        (folder / "_manifest.json").unlink()
+    with pytest.raises(SnapshotError):
+        read_snapshot(spark, built[0], households.STORED_SCHEMA)
     assert stored_households(spark, SF001).count() == 1500 and len(built) == 2
+    assert stored_households(spark, SF001).count() == 1500 and len(built) == 2
+
+
+def test_manifest(spark, tmp_path):
+    fact, path = stored_households(spark, SF001), str(tmp_path / "s")
+    write_snapshot(fact, path, by="quarter", source="first")
+    whole = check_snapshot(spark, path, "first")
+    assert whole["rows"] == 1500 and sum(whole["folders"].values()) == 1500 and set(whole["folders"]) == set(S.QUARTERS)
+    with pytest.raises(SnapshotError, match="another input"):
+        read_snapshot(spark, path, fact.schema, source="second")
+    # A refresh of one quarter by another session replaces that folder, its count and its files.
+    fresh = spark.newSession().createDataFrame(fact.filter("quarter = '2024Q1'").limit(7).collect(), fact.schema)
+    write_snapshot(fresh, path, by="quarter", replace="folders", source="second")
+    now = check_snapshot(spark, path, "second")
+    assert now["folders"]["2024Q1"] == 7 and now["rows"] == 1500 - whole["folders"]["2024Q1"] + 7
+    assert read_snapshot(spark, path, fact.schema).count() == now["rows"]
+    assert {f for f in whole["files"] if "2024Q1" not in f} == {f for f in now["files"] if "2024Q1" not in f}
+    with pytest.raises(SnapshotError, match="no manifest"):
+        read_snapshot(spark, str(tmp_path / "nothing"), fact.schema)
+    empty = write_snapshot(fact.limit(0), str(tmp_path / "e"), by="quarter")
+    assert check_snapshot(spark, empty)["rows"] == 0
+
+
+def test_bad_cells_are_set_aside(spark, make, tmp_path):
+    rows = make([{"household_id": f"HH-{i}", "snapshot_date": date(2023, 1, 5)} for i in range(4)]).select(*S.HOUSEHOLD_COLUMNS)
+    write_snapshot(rows.coalesce(1), path := str(tmp_path / "c"), fmt="csv")
+    (file,) = Path(path).glob("part-*.csv")
+    header, *lines = file.read_text().splitlines()
+    cells = lines[1].split(",")
+    cells[S.HOUSEHOLD_COLUMNS.index("tenure_months")] = "12 months"
+    cells[S.HOUSEHOLD_COLUMNS.index("snapshot_date")] = "soon"
+    empty = lines[3].split(",")
+    empty[S.HOUSEHOLD_COLUMNS.index("claims_24m")] = ""
+    (tmp_path / "d").mkdir()
+    path = str(tmp_path / "d")
+    (tmp_path / "d" / "rows.csv").write_text("\n".join([header, lines[0], ",".join(cells), lines[2] + ",one more", ",".join(empty), "too,few"]) + "\n")
+    good = scan_households(spark, path, "csv")
+    assert [(r.household_id, r.claims_24m) for r in good.orderBy("household_id").collect()] == [("HH-0", 0), ("HH-3", None)]
+    # The same rows go whichever columns are read.
+    assert good.select("state").count() == good.select("age_of_primary").count() == good.count() == 2
+    rejects = {r.household_id: r for r in scan_rejects(spark, path, "csv").collect()}
+    assert {k: r.bad_columns for k, r in rejects.items()} == {"HH-1": "snapshot_date,tenure_months", "HH-2": "line", "too": "snapshot_date,line"}
+    assert rejects["HH-1"].tenure_months == "12 months"
+    with pytest.raises(Exception, match="bad cells in snapshot_date, tenure_months"):
+        scan_households(spark, path, "csv", on_bad="fail").collect()
+    write_snapshot(rows.drop("state"), p := str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="state"):
+        scan_households(spark, p)
+    assert scan_rejects(spark, write_snapshot(rows, str(tmp_path / "q"))).count() == 0
+
+
+def test_filter_domains_have_a_limit(make):
+    df = make([{"agent_id": f"IA-{i:04d}", "state": None if i == 3 else "OH"} for i in range(30)])
+    rows = prep.filter_domains(df, ["agent_id", "state"], max_values=30).collect()
+    assert [r.value for r in sorted((r for r in rows if r.filter_column == "agent_id"), key=lambda r: r.position)] == [f"IA-{i:04d}" for i in range(30)]
+    assert [(r.position, r.value) for r in rows if r.filter_column == "state"] == [(0, "OH")]
+    with pytest.raises(Exception, match="agent_id has more than 29 values"):
+        prep.filter_domains(df, ["agent_id", "state"], max_values=29).collect()
 
 
 def test_shared_dir_is_the_sessions(spark):
@@ -219,7 +304,7 @@ def test_leaking_columns_are_refused(spark):
         propensity.check_features(["tenure_months", "propensity_score"])
 
 
-def test_model_separates_and_scores(spark, monkeypatch):
+def test_model_separates_and_scores(spark, monkeypatch, tmp_path):
     rows = propensity.stratified_split(propensity.encode_features(stored_households(spark, SF001)))
     model = propensity.train_gbt(rows.filter("split = 'train'"), rounds=5)
     scored = propensity.score_households(model, rows).cache()
@@ -236,15 +321,76 @@ def test_model_separates_and_scores(spark, monkeypatch):
     assert sum(r.above_median for r in shown) == 5
 
     # The registered model queries read one fit and one scored table.
-    monkeypatch.setattr(propensity, "train_gbt", lambda train: model)
+    monkeypatch.setattr(propensity, "train_gbt", lambda train, **k: model)
+    monkeypatch.setattr(registry, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(registry, "_fitted", {})
     lift = registry.queries()["model_lift_table"](spark, SF001).collect()
     assert lift[-1].cum_gain_pct == 100.0 and lift[0].lift > 1 > lift[-1].lift
     profile = registry.queries()["model_decile_profile"](spark, SF001).collect()
     assert [r.max_decile for r in profile] == [1, 2, 3, 10]
-    assert registry.queries()["score_households"](spark, SF001).count() == rows.filter("split = 'test'").count()
+    assert registry.queries()["model_scores"](spark, SF001).count() == rows.filter("split = 'test'").count()
+    checks = registry.queries()["score_households"](spark, SF001).collect()
+    assert len(checks) == 1500 and all(r.is_probability and r.class_follows for r in checks)
+    # Another session finds the saved model and the scores; scores that have lost a file are written anew.
+    first = registry._fitted.popitem()[1]
+    monkeypatch.setattr(propensity, "train_gbt", None)
+    assert registry.fitted(spark, SF001).scored == first.scored
+    next(Path(first.scored.removeprefix("file:")).glob("quarter=*/*.parquet")).unlink()
+    assert registry.fitted(spark, SF001).scored != first.scored
+    again = registry.scored_test(spark, SF001)
+    assert again.count() == rows.filter("split = 'test'").count()
     scored.unpersist()
 
 
+def test_a_saved_model_scores_the_same(spark, tmp_path):
+    rows = propensity.stratified_split(propensity.encode_features(prep.add_quarter_year(stored_households(spark, SF001))))
+    model = propensity.train_gbt(rows.filter("split = 'train'"), rounds=3)
+    path = propensity.save_model(model, str(tmp_path / "m"), note="x")
+    loaded, card = propensity.load_model(spark.newSession(), path)
+    assert card["features"] == S.FEATURES and card["note"] == "x"
+    columns = ["household_id", "model_prob", "prediction"]
+    before, after = (propensity.score_households(m, rows).select(*columns) for m in (model, loaded))
+    assert before.count() == 1500 and before.exceptAll(after).count() == 0
+    # Scores lie in dated folders, of which one can be scored again.
+    keep = ["household_id", "converted_mphh"]
+    out = propensity.write_scores(loaded, rows, str(tmp_path / "s"), keep)
+    propensity.write_scores(loaded, rows.filter("quarter = '2025Q4'"), out, keep, replace="folders")
+    assert check_snapshot(spark, out)["rows"] == 1500 and len(check_snapshot(spark, out)["folders"]) == 12
+    with pytest.MonkeyPatch.context() as m:
+        m.setitem(S.ORDINAL_CODES, "policy_tier", {"Basic": 9})
+        with pytest.raises(ValueError, match="other codes"):
+            propensity.load_model(spark, path)
+
+
+def test_training_sample_keeps_the_bound_and_the_classes(spark):
+    rows = propensity.stratified_split(stored_households(spark, SF001)).filter("split = 'train'")
+    n = rows.count()
+    assert propensity.training_sample(rows, n).count() == n
+    for most in (900, 300, 40):
+        sample = propensity.training_sample(rows, most)
+        kept = sample.count()
+        assert most - 9 * most ** 0.5 <= kept <= most
+        assert sorted(r[0] for r in sample.select("household_id").collect()) == sorted(r[0] for r in propensity.training_sample(rows.repartition(7), most).select("household_id").collect())
+    share = lambda df: df.agg(F.avg("converted_mphh")).first()[0]
+    assert abs(share(propensity.training_sample(rows, 900)) - share(rows)) < 0.05
+
+
+def test_area_of_ties_and_missing_scores(spark):
+    area = lambda rows: propensity.model_auc(spark.createDataFrame(rows, "model_prob double, converted_mphh int")).first()
+    assert area([(0.1, 0), (0.2, 1), (0.2, 0), (0.9, 1)]).auc == pytest.approx(3.5 / 4, abs=1e-12)
+    assert area([(0.5, 0), (0.5, 1)]).auc == 0.5 and area([(-3.0, 1), (-2.0, 0)]).auc == 0.0
+    got = area([(0.1, 0), (None, 1), (float("nan"), 1), (0.7, 1), (0.8, None)])
+    assert (got.households, got.converted, got.auc) == (5, 3, 1.0)
+    assert area([(0.4, 1)]).auc is None and area([]).auc is None
+
+
+def test_area_equals_the_evaluator(spark):
+    rows = stored_households(spark, SF001).select("propensity_score", "converted_mphh")
+    ready = rows.select(F.col("propensity_score").alias("rawPrediction"), F.col("converted_mphh").cast("double").alias("label"))
+    want = BinaryClassificationEvaluator(numBins=0).evaluate(ready)
+    assert propensity.model_auc(rows, "propensity_score").first().auc == pytest.approx(want, abs=1e-9)
+
+
 def test_confusion_without_positive_predictions(make):
     row = propensity.confusion(make([{}]).withColumn("prediction", F.lit(0))).first()
     assert (row.precision, row.recall, row.accuracy) == (0.0, 0.0, 1.0)

@@ -8,8 +8,7 @@ from bundlelens.plans import oracles, registry
 from conftest import SF01
 
 SQL = oracles.oracle_sql()
-MODEL_ONLY = {"train_gbt", "score_households", "model_auc", "model_confusion", "feature_importance", "model_lift_table",
-              "model_decile_profile"}
+MODEL_ONLY = {"model_scores", "fitted_auc", "model_confusion", "leading_features", "model_lift_table", "model_decile_profile"}
 
 
 @pytest.fixture(scope="module")
