@@ -63,4 +63,27 @@ WINDOW best AS (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id)
 QUALIFY row_number() OVER best <= 3
 """
 
-SQL = {"op11_mixing": MIXING, "op12_hard_negatives": HARD_NEGATIVES, "op2_substring": SUBSTRING, "op6_superminhash": NEAR_DUPLICATES}
+#: Lines are compared without case, digits' values and spacing; documents of a host are counted by their words.
+QUALITY_RULES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+again AS (SELECT r, k FROM windows GROUP BY r, k HAVING count(*) > 1),
+repeats AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM windows SEMI JOIN again USING (r, k)) GROUP BY r),
+lines AS (SELECT r, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+') AS words
+          FROM (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM d)),
+solid AS (SELECT r, source, line, array_to_string(words, ' ') AS k, len(words) AS n FROM lines WHERE len(words) > 0),
+twice AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM solid GROUP BY r),
+whole AS (SELECT r, source, md5(array_to_string(w, ' ')) AS x FROM d),
+hosts AS (SELECT source, count(DISTINCT x) AS n_docs FROM whole GROUP BY source),
+kept_lines AS (SELECT r, source, k, sum(n) AS n FROM solid GROUP BY r, source, k),
+often AS (SELECT l.source, l.k FROM kept_lines l JOIN whole USING (r) JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source
+          GROUP BY l.source, l.k, h.n_docs HAVING count(DISTINCT x) > 20 AND (count(DISTINCT x) > 0.05::DOUBLE * h.n_docs OR count(DISTINCT x) > 10000)),
+lost AS (SELECT r, sum(l.n) AS n FROM kept_lines l JOIN often o ON l.k = o.k AND l.source IS NOT DISTINCT FROM o.source GROUP BY r),
+counted AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                   coalesce(twice.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_line_words
+            FROM d LEFT JOIN twice USING (r) LEFT JOIN repeats USING (r) LEFT JOIN lost USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND 100 * (n_words - n_line_words) >= 30 * n_words AS kept FROM judged
+"""
+
+SQL = {"op3_quality_rules": QUALITY_RULES, "op11_mixing": MIXING, "op12_hard_negatives": HARD_NEGATIVES, "op2_substring": SUBSTRING, "op6_superminhash": NEAR_DUPLICATES}

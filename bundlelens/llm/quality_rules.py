@@ -70,7 +70,11 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 LINES = pa.list_(pa.struct([("key", pa.int64()), ("words", pa.int32()), ("family", pa.int64())]))
 
 
-def count_rows(batches):
+def count_rows(near_copies_once: bool):
+    return lambda batches: counted_batches(batches, near_copies_once)
+
+
+def counted_batches(batches, near_copies_once: bool):
     hashes = WordHashes()
     for batch in batches:
         texts = utf8(batch.column("text"))
@@ -80,26 +84,27 @@ def count_rows(batches):
             lines, kinds = [], []
             for t, (*_, whole, runs) in zip(part, counts):
                 keyed = [(line_key(x), len(x.split())) for x in t.split(b"\n")]
-                kind, families = line_families(keyed, runs, whole)
+                kind, families = line_families(keyed, runs, whole) if near_copies_once else (whole, {})
                 kinds.append(kind)
                 words: dict[int, int] = {}
                 for key, n in keyed:
                     if key:
                         words[key] = words.get(key, 0) + n
-                lines.append([{"key": k, "words": n, "family": families[k]} for k, n in words.items()])
+                lines.append([{"key": k, "words": n, "family": families.get(k, whole)} for k, n in words.items()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, 1000) for c in ("id", "th", "host")),
                                               *(pa.array(c, pa.int64()) for c in list(zip(*counts))[: len(COUNTS)]), pa.array(kinds, pa.int64()), pa.array(lines, LINES)],
                                              ["id", "th", "host", *COUNTS, "family", "lines"])
 
 
 def judge(df: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, min_line_docs: int = 20, max_line_share: float = 0.05,
-          min_left_pct: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = 10_000) -> DataFrame:
+          min_left_pct: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_docs: int = 10_000,
+          near_copies_once: bool = False) -> DataFrame:
     """Per row ``id``, ``th``, the counts, ``base_failed``, ``common`` (keys of lines to remove), ``n_line_words`` (words in them), ``kept``.
 
     A line is removed when more than ``min_line_docs`` of a host's documents have it and these are more than ``max_line_share`` of
-    them or more than ``max_line_docs``. Documents are counted by their whole text; those that have a line and agree in the least ``MINIMA``
-    hashes of three-word runs beside it count as one for that line, so copies and near copies of a document, which share all its lines, don't make
-    those lines common. A document is rejected if it fails the counts or if less than ``min_left_pct`` percent of its words are left.
+    them or more than ``max_line_docs``. Documents are counted by their words, so exact copies of a document count once and don't make its
+    lines common. With ``near_copies_once``, documents that have a line and agree in the least ``MINIMA`` hashes of three-word runs beside it
+    also count as one for that line; lines of depleted pages, which have little else, may then be missed. A document is rejected if it fails the counts or if less than ``min_left_pct`` percent of its words are left.
     Null and empty texts fail for want of words; a null host is a host of its own; equal rows are judged alike; lines
     are compared without regard to case, digits' values and spacing. Groups are counted after pre-aggregation, and a host's
     lines lie in many groups, so a host with a third of all rows is spread like any other.
@@ -107,7 +112,7 @@ def judge(df: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, min_line
     docs = documents(df, id_col, text_col, host=host_col)
     kind, host = id_type(docs), id_type(docs, "host")
     counted = hold(docs.select("id", "th", "host", "text").mapInArrow(
-        count_rows, f"id {kind}, th long, host {host}, {', '.join(f'{c} long' for c in COUNTS)}, family long, lines array<struct<key:long,words:int,family:long>>"))
+        count_rows(near_copies_once), f"id {kind}, th long, host {host}, {', '.join(f'{c} long' for c in COUNTS)}, family long, lines array<struct<key:long,words:int,family:long>>"))
     lines = counted.select("id", "th", "host", F.inline("lines"))
     hosts = counted.groupBy("host").agg(F.count_distinct("family").alias("n_docs"))
     often = lines.groupBy("host", "key").agg(F.count_distinct("family").alias("n")).filter(F.col("n") > min_line_docs)

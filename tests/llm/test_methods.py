@@ -16,20 +16,6 @@ from bundlelens.llm import queries as Q
 SF01 = "/root/testdata/sf0.01"
 
 
-def plain_lines(rows, min_chars=24, width=12, percent=80):
-    lines = [(i, k, x.strip(" \t\n\x0b\f\r").lower()) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
-    sets = [{m[1] for m in re.finditer(rf"(?<![^ ])(?=([^ ].{{{width - 1}}}))", x)} if len(x) >= min_chars else set() for _, _, x in lines]
-    first, links = {}, list(brute.similar(sets, percent))
-    for k, (_, _, x) in enumerate(lines):
-        if len(x) >= min_chars:
-            links.append((k, first.setdefault(x, k)))
-    root = brute.groups(len(lines), links)
-    least = {}
-    for (i, k, _), r in zip(lines, root):
-        least[r] = min((i, k), least.get(r, (i, k)))
-    return sorted((i, k, *least[r], (i, k) == least[r]) for (i, k, _), r in zip(lines, root))
-
-
 def marked(df):
     return sorted(tuple(r) for r in df.select("id", "line_no", "first_id", "first_line", "kept").collect())
 
@@ -43,13 +29,12 @@ def test_lines(documents, tricky):
             words[(7 * j + k) % 60] = f"other{k}{j}"
         variants.append((100 + k, "Short line\n" + " ".join(words).upper() + " \nthe end"))
     rows = tricky + variants
-    assert marked(line_dedup.mark_lines(documents(rows))) == plain_lines(rows)
+    assert marked(line_dedup.mark_lines(documents(rows))) == dense_lines(rows)
 
 
 def test_lines_of_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()]
-    out = Q.op4(spark, SF01).withColumnRenamed("doc_id", "id")
-    assert marked(out) == plain_lines(rows)
+    assert marked(Q.op4(spark, SF01).withColumnRenamed("doc_id", "id")) == dense_lines(rows)
 
 
 def test_line_texts(documents):
@@ -83,31 +68,33 @@ def test_lines_by_every_character(documents, tricky):
     assert kept[100] and kept[101] and not kept[102] and all(kept[103 + k] for k in range(3)) and kept[106] and kept[107] and kept[110] and kept[111]
 
 
-def test_dense_lines_of_the_table(spark):
-    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
-    assert marked(Q.op4(spark, "/root/testdata/sf0.001").withColumnRenamed("doc_id", "id")) == dense_lines(rows)
-
-
 def test_common_lines(documents):
     menu = "Home | About us 2024"
     letters = str.maketrans("0123456789", "abcdefghij")
     body = lambda k: "\n".join(" ".join(f"w{k}_{j}_{i}".translate(letters) for i in range(20)) for j in range(4))
     rows = [(k, menu + "\n" + body(k)) for k in range(40)] + [(50 + k, body("copy") + f" x{k}".translate(letters)) for k in range(60)] + [(200, menu.replace("2024", "2025") + " \n" + "x y z " * 3)]
-    out = {r["id"]: r for r in quality_rules.judge(documents(rows), min_line_docs=10).collect()}
+    out = {r["id"]: r for r in quality_rules.judge(documents(rows), min_line_docs=10, near_copies_once=True).collect()}
     assert all(out[k]["kept"] and len(out[k]["common"]) == 1 and out[k]["n_line_words"] == 5 for k in range(40))
     assert all(out[50 + k]["kept"] and not out[50 + k]["common"] for k in range(60)) and not out[200]["kept"]
-    clean = {r.doc_id: r.text for r in quality_rules.clean(documents(rows), min_line_docs=10).collect()}
+    clean = {r.doc_id: r.text for r in quality_rules.clean(documents(rows), min_line_docs=10, near_copies_once=True).collect()}
     assert clean[3] == body(3) and clean[55] == rows[45][1] and 200 not in clean
+    # Exact copies count once, near copies each.
+    copies = [(k, t) for k, t in rows[:40]] + [(50 + k, body("copy")) for k in range(60)]
+    out = {r["id"]: r for r in quality_rules.judge(documents(copies), min_line_docs=10).collect()}
+    assert all(out[50 + k]["kept"] and not out[50 + k]["common"] for k in range(60)) and len(out[0]["common"]) == 1
+    out = {r["id"]: r for r in quality_rules.judge(documents(rows), min_line_docs=10).collect()}
+    assert all(len(out[50 + k]["common"]) == 3 and not out[50 + k]["kept"] for k in range(60))
 
 
-def test_lines_of_depleted_pages(documents):
+@pytest.mark.parametrize("words", [1, 5, 15, 60])
+def test_lines_of_depleted_pages(documents, words):
     """Pages that share most of their words are still many documents; so are those of a host too large for a share."""
     shared = [" ".join(f"s{chr(97 + j)}{chr(97 + i)}" for i in range(14)) for j in range(10)]
     name = lambda k, i: "".join(chr(97 + int(c)) for c in f"{k:04}") + chr(97 + i % 26) + chr(97 + i // 26)
     own = lambda k, n: " ".join(name(k, i) for i in range(n))
-    rows = [(k, "\n".join([*shared, own(k, 60)])) for k in range(100)] + [(100 + k, own(100 + k, 60)) for k in range(900)]
+    rows = [(k, "\n".join([*shared, own(k, words)])) for k in range(100)] + [(100 + k, own(100 + k, 60)) for k in range(900)]
     out = {r["id"]: r for r in quality_rules.judge(documents(rows)).collect()}
-    assert all(len(out[k]["common"] or []) == 10 for k in range(100)) and all(not out[100 + k]["common"] for k in range(900))
+    assert all(len(out[k]["common"] or []) == 10 and out[k]["kept"] == (words == 60) for k in range(100)) and all(not out[100 + k]["common"] for k in range(900))
     short = [(k, shared[0] + "\n" + own(k, 4)) for k in range(25)] + rows[100:]
     for limit, n in ((10_000, 0), (24, 1)):
         out = {r["id"]: r for r in quality_rules.judge(documents(short), max_line_docs=limit).collect()}

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bundlelens.llm import conversation_repair as cr
-from bundlelens.llm import hard_negatives, mixing
+from bundlelens.llm import hard_negatives, mixing, quality_rules
 from bundlelens.llm import queries as Q
 from bundlelens.llm.oracles import SQL
 
@@ -278,7 +278,8 @@ def test_cells_against_all_edits():
 
 
 @pytest.mark.parametrize("key, table, cols", [("op11_mixing", "documents", ["doc_id", "size", "source_size", "target", "taken", "source", "copies"]),
-                                              ("op12_hard_negatives", "embeddings", NEGATIVES)])
+                                              ("op12_hard_negatives", "embeddings", NEGATIVES),
+                                              ("op3_quality_rules", "documents", ["doc_id", *quality_rules.COUNTS, "n_line_words", "base_failed", "kept"])])
 def test_query_against_sql(spark, key, table, cols):
     con = duckdb.connect()
     con.execute(f"create view {table} as select * from read_parquet('{SF01}/{table}.parquet')")
