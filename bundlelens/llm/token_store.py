@@ -25,12 +25,13 @@ from bundlelens.llm.tokens import encoder
 def train_dictionary(docs: DataFrame, tokenizer: str, max_docs: int = 2_000, size: int = 64 << 10) -> bytes:
     """Dictionary from the id arrays of the ``max_docs`` documents whose ids hash lowest, each cut to 16 KB.
 
-    The bound keeps what reaches the driver small; the dictionary only affects size, every document is compressed with it.
+    The hash bounds what all tasks send together, before the limit makes it exact; the dictionary only affects size, every document is compressed with it.
     Without enough material the dictionary is empty and frames stand alone.
     """
     import zstandard
 
-    rows = docs.select(F.xxhash64("id", "th").alias("h"), F.substring("text", 1, 16_384).alias("text")).orderBy("h").limit(max_docs).collect()
+    lowest = F.col("h") / F.lit(2.0**64) + 0.5 < max_docs / max(1, docs.count())
+    rows = docs.select(F.xxhash64("id", "th").alias("h"), F.substring("text", 1, 16_384).alias("text")).filter(lowest).orderBy("h").limit(max_docs).collect()
     samples = [x[:16_384] for x in encoder(tokenizer).encode([r["text"].encode() for r in rows]) if x]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -58,10 +59,12 @@ def block_rows(tokenizer: str, dictionary: bytes, end_id: int, block_docs: int,
                     counts.append(len(data) // 4 + 1)
                 index = np.array([ends, counts], "<u4").T.tobytes()
                 ids = batch.column("id").slice(lo, len(counts)).to_pylist()
+                known = [x for x in ids if x is not None]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([start], pa.int64()), pa.array([sum(counts)], pa.int64()),
-                     pa.array([name], pa.binary()), pa.array([ids], pa.list_(kind)), pa.array([index], pa.binary()), pa.array([b"".join(frames)], pa.binary())],
-                    ["part", "block", "part_start", "n_tokens", "dictionary", "ids", "index", "payload"])
+                     pa.array([name], pa.binary()), pa.array([known[0] if known else None], kind), pa.array([known[-1] if known else None], kind),
+                     pa.array([ids], pa.list_(kind)), pa.array([index], pa.binary()), pa.array([b"".join(frames)], pa.binary())],
+                    ["part", "block", "part_start", "n_tokens", "dictionary", "least", "greatest", "ids", "index", "payload"])
                 number, start = number + 1, start + sum(counts)
 
     return rows
@@ -82,7 +85,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, block
     kind = to_arrow_type(docs.schema["id"].dataType)
     ordered = docs.repartitionByRange("id", "th").sortWithinPartitions("id", "th").select("id", "text")
     blocks = ordered.mapInArrow(block_rows(tokenizer, dictionary, end_id, block_docs, level, kind),
-                                f"part int, block long, part_start long, n_tokens long, dictionary binary, ids array<{id_type(docs)}>, index binary, payload binary")
+                                f"part int, block long, part_start long, n_tokens long, dictionary binary, least {id_type(docs)}, greatest {id_type(docs)}, ids array<{id_type(docs)}>, index binary, payload binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     before = np.concatenate([[0], np.cumsum([r["n"] for r in totals])]).tolist()
@@ -136,9 +139,9 @@ def checksums(store: DataFrame) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id) -> DataFrame:
-    """One document: only blocks that hold the id are decompressed."""
+    """One document: ranges of ids are looked up in the files' statistics, and only the document's own frame is decompressed."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["content"])
-    blocks = spark.read.parquet(f"{path}/blocks").filter(F.array_contains("ids", doc_id))
+    blocks = spark.read.parquet(f"{path}/blocks").filter((F.col("least") <= doc_id) & (F.col("greatest") >= doc_id)).filter(F.array_contains("ids", doc_id))
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
 
     def rows(batches):

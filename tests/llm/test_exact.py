@@ -145,7 +145,10 @@ def test_store(documents, tricky, spark, tmp_path):
     token_store.write_store(documents(tricky), path, Q.TOKENIZER, block_docs=4)
     store = token_store.read_store(spark, path)
     assert rows_of(token_store.checksums(store), "id", *OP10[1:]) == sorted(brute.op10([(i, t or "") for i, t in tricky], Q.TOKENIZER), key=repr)
-    one = token_store.read_document(spark, path, 24).collect()
+    found = token_store.read_document(spark, path, 24)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(least,24)" in plan and "GreaterThanOrEqual(greatest,24)" in plan
+    one = found.collect()
     assert [bytes(r["ids"]) for r in one] == [bytes(r["ids"]) for r in store.filter("id = 24").collect()]
 
 
