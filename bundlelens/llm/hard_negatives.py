@@ -206,13 +206,19 @@ def anchor_rows(width: int):
 
 def pairs_of_blocks(anchors: DataFrame, candidates: DataFrame, same_label: bool, anchor_block: int, row_block: int) -> DataFrame:
     """Anchors and candidates, each once for every block of the other side; with ``same_label``, blocks hold one label each and only its own meet."""
-    group = F.col("label") if same_label else F.lit(0)
-    count = lambda df, name, block: df.groupBy(group.alias("g")).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    blocks = hold(count(anchors, "na", anchor_block).join(count(candidates, "nc", row_block), "g"))
+    size = lambda n, block: F.ceil(n / block).cast("int")
+    if same_label:
+        count = lambda df, name, block: df.groupBy(F.col("label").alias("g")).agg(size(F.count("*"), block).alias(name))
+        blocks = hold(count(anchors, "na", anchor_block).join(count(candidates, "nc", row_block), "g"))
+        sized = lambda df: df.withColumn("g", F.col("label")).join(blocks, "g")
+    else:
+        whole = {"g": F.lit(0), "na": size(F.lit(anchors.count()), anchor_block), "nc": size(F.lit(candidates.count()), row_block)}
+        sized = lambda df: df.withColumns(whole)
 
     def dealt(df: DataFrame, member: bool, own: str, others: str) -> DataFrame:
-        mine, other = F.pmod(F.xxhash64("row"), own).cast("int"), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
-        df = df.withColumn("g", group).join(blocks, "g").withColumn("mine", mine).withColumn("other", other)
+        # Without rows on the other side there are no blocks to deal to.
+        mine, other = F.pmod(F.xxhash64("row"), own).cast("int"), F.explode(F.filter(F.sequence(F.lit(0), F.col(others)), lambda i: i < F.col(others)))
+        df = sized(df).withColumn("mine", mine).withColumn("other", other)
         a, c = ("other", "mine") if member else ("mine", "other")
         return df.select(F.concat_ws("/", "g", a, c).alias("pair"), F.lit(member).alias("member"), "row", "id", "label", "goals", "data")
 
