@@ -11,12 +11,12 @@ class Encoder:
     """Ids of texts, as the library gives them for the whole text without special tokens added.
 
     A token never spans blank space, so a text's ids are those of its words in turn. Words repeat, so each is encoded
-    once and kept, up to ``limit`` words. Where no special token can occur, letters A-Z are lowered and ASCII marks
+    once and kept, up to ``limit`` words; the frequent ones are met early, and what comes later is encoded text by text. Where no special token can occur, letters A-Z are lowered and ASCII marks
     (but the apostrophe) between a letter a-z and a blank are cut off first, which leads to the same ids (the tokenizer does both)
     and to fewer different words. That holds for lower-casing tokenizers that drop blanks, which the constructor checks.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,11 +43,13 @@ class Encoder:
             try:
                 yield b"".join(map(known.__getitem__, words))
             except KeyError:
-                if len(known) > self.limit:
-                    known.clear()
                 new = [w for w in dict.fromkeys(words) if w not in known]
-                known.update(zip(new, self.ids([w.decode("utf-8", "replace") for w in new])))
-                yield b"".join(map(known.__getitem__, words))
+                own = dict(zip(new, self.ids([w.decode("utf-8", "replace") for w in new])))
+                if len(known) + len(own) <= self.limit:
+                    known.update(own)
+                    yield b"".join(map(known.__getitem__, words))
+                else:
+                    yield b"".join([own[w] if w in own else known[w] for w in words])
 
 
 def encoder(path: str) -> Encoder:
