@@ -2,13 +2,13 @@
 
 Lines are compared by the ``width``-character shingles at every character. A signature of ``2 * bands`` least hashes per line is
 made where the lines are read, grouped by the line's hash and combined before the shuffle, so texts of lines aren't
-shuffled for it. Lines that share a band (two least hashes) are compared with the commonest of them; lines then left in
-another component than it are compared with the rest of their bucket, where bitmaps of the shingles rule out pairs that cannot be
-alike within the join. Similarity is exact, on all shingles; components are
+shuffled for it. Lines that share a band (two least hashes) are compared with the commonest of them, then with a few others as long as
+that joins components; lines still left in another component are compared with the rest of their bucket, where bitmaps of the
+shingles rule out pairs that cannot be alike within the join. Similarity is exact, on all shingles; components are
 found by distributed union-find.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bundlelens.llm.common import documents, hold
@@ -39,6 +39,9 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     return both.filter(common * (100 + percent) >= percent * (F.col("a_m") + F.col("b_m"))).select("a", "b")
 
 
+#: Lines of a bucket that meet all the others in one round.
+MEET = 6
+
 #: A set's bitmap has so many words of 64 bits.
 WORDS = 8
 
@@ -110,16 +113,27 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
     # Buckets that lie in one component whole need no further look.
     bits = bitmaps(texts.join(placed.join(center.select("b"), "b").select("h").distinct(), "h"), width)
     bits = hold(bits.join(signs.select("h", "keys"), "h"))
-    placed = hold(placed.join(center, "b").join(bits, "h"))
-    outside = placed.filter("c <> center").select(F.col("b").alias("ob"), F.col("h").alias("o"), F.col("c").alias("oc"), F.col("m").alias("om"), F.col("keys").alias("okeys"),
-                                                  *(F.col(f"w{k}").alias(f"ow{k}") for k in range(WORDS)))
+    # Some lines of each such bucket meet all the others, again and again with other lines, as long as that joins components: large groups
+    # become one by few pairs, and what is left for all pairs are lines that hardly any other is alike.
+    rounds = 0
+    while True:
+        left = hold(placed.join(center, "b").join(bits, "h"))
+        outside = left.filter("c <> center").select(F.col("b").alias("ob"), F.col("h").alias("o"), F.col("c").alias("oc"), F.col("m").alias("om"), F.col("keys").alias("okeys"),
+                                                    *(F.col(f"w{k}").alias(f"ow{k}") for k in range(WORDS)))
+        met = (F.col("ob") == F.col("b")) & (F.col("oc") != F.col("c")) & may_be_alike("o", "", percent)
+        some = outside.withColumn("turn", F.row_number().over(Window.partitionBy("ob").orderBy(F.xxhash64("o", F.lit(rounds)))))
+        pairs = some.filter(F.col("turn") <= MEET).join(left.filter("h <> hub"), met).select(F.col("o").alias("a"), F.col("h").alias("b")).distinct()
+        found, rounds = hold(alike(pairs, texts, width, percent)), rounds + 1
+        if found.isEmpty():
+            break
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+        placed, center = in_components(placed.drop("c"), linked)
     # A pair is made in the first bucket that it shares, not in each of them.
     first_shared = F.coalesce(*(F.when(F.col("okeys")[i] == F.col("keys")[i], F.col("keys")[i]) for i in range(bands)))
-    cross = outside.join(placed.filter("h <> hub"), (F.col("ob") == F.col("b")) & (F.col("oc") != F.col("c"))
-                         & ((F.col("c") == F.col("center")) | (F.col("o") < F.col("h"))) & may_be_alike("o", "", percent) & (first_shared == F.col("b")))
+    cross = outside.join(left.filter("h <> hub"), met & ((F.col("c") == F.col("center")) | (F.col("o") < F.col("h"))) & (first_shared == F.col("b")))
     more = hold(alike(cross.select(F.col("o").alias("a"), F.col("h").alias("b")), texts, width, percent))
     if not more.isEmpty():
-        linked = components(links.unionByName(more))
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     # Lines that occur once and are linked with none need no more looking up.
     nodes = linked.select(F.col("node").alias("h"), F.col("component").alias("c"))
     again = signs.filter("n > 1").select("h").join(nodes, "h", "full").select("h", F.coalesce("c", "h").alias("c"))
