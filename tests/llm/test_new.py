@@ -15,6 +15,7 @@ from bundlelens.llm import conversation_repair as cr
 from bundlelens.llm import hard_negatives, mixing, quality_rules
 from bundlelens.llm import queries as Q
 from bundlelens.llm.oracles import SQL
+from bundlelens.llm.tokens import Encoder
 
 SF001, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 EXTRA = ", id int, row int, t int, s int, k int, c int, conv int, at int, part int, goals int, data int, g int"
@@ -288,3 +289,11 @@ def test_query_against_sql(spark, key, table, cols):
     df = Q.queries()[key](spark, SF01)
     assert sorted(names) == sorted(df.columns) == sorted(cols)
     assert rows_of(df, *cols) == sorted((tuple(row[names.index(c)] for c in cols) for row in out.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("limit", [0, 5, 700_000])
+def test_a_full_word_cache_changes_nothing(limit):
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["Word", "word.", "é", "12,5", "don't", f"x{r.randint(0, 99)}"]) for _ in range(r.randint(0, 30))) for _ in range(60)]
+    enc = Encoder(Q.TOKENIZER, limit)
+    assert list(enc.encode([t.encode() for t in texts])) == enc.ids(texts) and len(enc.known) <= limit
