@@ -1,6 +1,7 @@
 """Operators that no fixed rule describes whole: by brute force of their rules, round trips and held-out accuracy."""
 
 import re
+import time
 from collections import Counter, defaultdict
 
 import brute
@@ -170,12 +171,56 @@ def test_leaks(documents, spark):
     bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, ""), (5, "12 12 and 13 are numbers that 12 people like")], "item_id long, text string")
     rows = [(1, "Some text before. " + item + " and after."), (2, "So. " + other), (3, item.upper()), (4, item[:30]), (5, None), (6, ""), (7, "A short one."),
             (8, "40 40 and 50 are numbers that 40 people like"), (9, "40 41 and 50 are numbers that 42 people like"), (10, "words " * 5000 + item), (11, "unrelated text of some words")]
-    for size in (20_000, 1):
-        out = {r["id"]: r["items"] for r in decontaminate.find_leaks(documents(rows), bench, block_items=size).collect()}
-        assert out == {1: [1], 2: [1], 3: [1], 4: [], 5: [], 6: [], 7: [2], 8: [5], 9: [], 10: [1], 11: []}
+    out = {r["id"]: r["items"] for r in decontaminate.find_leaks(documents(rows), bench).collect()}
+    assert out == {1: [1], 2: [1], 3: [1], 4: [], 5: [], 6: [], 7: [2], 8: [5], 9: [], 10: [1], 11: []}
     assert mixed_up != item
 
 
+def test_leaks_of_repeated_rows(documents, spark):
+    """Equal rows, null ids, equal items, an id with two texts, clashing columns."""
+    item, second = "seven wise owls sat upon an old barn roof singing", "nine quick foxes ran over a cold stone bridge today"
+    bench = spark.createDataFrame([(1, item, 0), (1, item, 1), (1, second, 2), (2, item, 3)], "item_id long, text string, id int")
+    rows = [(1, item), (1, item), (None, item), (None, item), (1, second), (3, second + " " + item), (4, "none of them")]
+    docs = documents(rows).selectExpr("*", "'x' as id", "1 as th", "2 as item", "3 as w", "4 as share")
+    out = [(r["id"], tuple(r["items"])) for r in decontaminate.find_leaks(docs, bench).collect()]
+    assert Counter(out) == {(1, (1, 2)): 2, (None, (1, 2)): 2, (1, (1,)): 1, (3, (1, 2)): 1, (4, ()): 1}
+
+
+def aligned(item: list[str], text: list[str], need: int, run: int) -> bool:
+    """Leak of a text without placeholders, by all alignments."""
+    n = min(5, len(item))
+    for d in range(-len(item), len(text)):
+        ats = [a for a in range(len(item) - n + 1) if 0 <= a + d <= len(text) - n and item[a : a + n] == text[a + d : a + d + n]]
+        if len({a + j for a in ats for j in range(n)}) >= need or any(set(range(a, a + run - n + 1)) <= set(ats) for a in ats):
+            return True
+    return False
+
+
+def test_leaks_of_few_different_words():
+    """Texts of two or three words in many orders, where most windows stand at several places."""
+    r, tokens = np.random.default_rng(5), decontaminate.Tokens()
+    hits = 0
+    for k in range(400):
+        words = ["aa", "bb", "cc"][: 1 + k % 3]
+        item = r.choice(words, r.integers(3, 60)).tolist()
+        text = r.choice(words, r.integers(0, 200)).tolist()
+        text = text[:50] + item[: len(item) - int(r.integers(0, 12))] + text[50:] if k % 2 else text
+        made = decontaminate.Item(" ".join(item).encode(), tokens, 5, 0.8, 30, 3)
+        found = made.match(decontaminate.Doc(" ".join(text).encode(), tokens)) > 0
+        assert found or not aligned(item, text, made.need, 30), (item, text)
+        hits += found
+    assert 150 < hits < 400
+
+
+def test_leaks_of_one_repeated_word():
+    tokens, start = decontaminate.Tokens(), time.process_time()
+    item, doc = decontaminate.Item(b"word " * 1000, tokens, 5, 0.8, 30, 3), decontaminate.Doc(b"word " * 16_000, tokens)
+    assert item.match(doc) >= 800
+    number = decontaminate.Item(b"add 5 to it now " * 200, tokens, 5, 0.8, 30, 3)
+    assert number.match(decontaminate.Doc(b"add 6 to it now add 7 to it now add 8 to it now " * 1100, tokens)) == 0
+    assert time.process_time() - start < 3
+
+
 def test_leaks_of_edited_items(documents, spark):
     item = "Farmer John has 12 apples and gives 5 kg of them to Mary before noon today"
     words = [f"{a}{b}" for a in "bcdfgh" for b in ("ale", "ore", "ine", "une", "ate")]
