@@ -217,7 +217,7 @@ def test_leaks_of_one_repeated_word():
     item, doc = decontaminate.Item(b"word " * 1000, tokens, 5, 0.8, 30, 3), decontaminate.Doc(b"word " * 16_000, tokens)
     assert item.match(doc) >= 800
     number = decontaminate.Item(b"add 5 to it now " * 200, tokens, 5, 0.8, 30, 3)
-    assert number.match(decontaminate.Doc(b"add 6 to it now add 7 to it now add 8 to it now " * 1100, tokens)) == 0
+    assert number.match(decontaminate.Doc(" ".join(f"add {k} to it now" for k in range(10, 3310)).encode(), tokens)) == 0
     assert time.process_time() - start < 3
 
 
