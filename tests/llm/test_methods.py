@@ -156,6 +156,32 @@ def test_surrogates_of_more_formats(documents):
     assert [r.text for r in surrogates.replace(documents(clean), "k").collect()] == [clean[0][1]]
 
 
+def test_surrogates_follow_an_entity(documents):
+    """One surrogate per entity in all its forms, titled or not, in its script; nothing of a name is left."""
+    texts = ["Mr John Smith came. Later Mr Smith left; John waved. SMITH's hat.", "Call 415-555-0100 or (415) 555-0100. Write Ann.Lee@x.com or ann.lee@x.com.",
+             "Mr Иван Петров and Frau Müller-Lüdenscheidt", "Dr. Jane Roe, Professor Lee, M. Dupont, Mr O'Neill, Mrs van Dyke, Mrs Anna Maria Berg", "John and Smith are words here",
+             "DE89 3704 0044 0532 0130 00 and DE89370400440532013000, 4111 1111 1111 1111 and 4111-1111-1111-1111"]
+    out = {r["id"]: r for r in surrogates.replace(documents(list(enumerate(texts))), "k").collect()}
+    first, last, again, john, upper = re.fullmatch(r"Mr (\w+) (\w+) came\. Later Mr (\w+) left; (\w+) waved\. (\w+)'s hat\.", out[0].text).groups()
+    assert last == again == upper.capitalize() and first == john in surrogates.GIVEN["m"] and last != "Smith" and out[0].kinds == ["name"]
+    a, b, mail, low = re.fullmatch(r"Call ([\d-]+) or ([()\d -]+)\. Write (\S+) or (\S+)\.", out[1].text).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "4155550100" and mail.lower() == low != "ann.lee@x.com" and mail[0].isupper() and not mail.islower()
+    assert re.fullmatch(r"Mr [А-я]+ [А-я]+ and Frau \w+-\w+", out[2].text) and not re.search("Иван|Петров|Müller|Lüden", out[2].text)
+    assert re.fullmatch(r"Dr\. \w+ \w+, Professor \w+, M\. \w+, Mr O'\w+, Mrs van \w+, Mrs \w+ \w+ \w+", out[3].text)
+    assert not re.search("Jane|Roe|Lee|Dupont|Neill|Dyke|Anna|Maria|Berg", out[3].text) and out[4].text == texts[4]
+    iban, plain, card, dashed = re.fullmatch(r"([A-Z\d ]+) and (\w+), ([\d ]+) and ([\d-]+)", out[5].text).groups()
+    assert iban.replace(" ", "") == plain != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    digits = [int(c) for c in reversed(card.replace(" ", ""))]
+    assert dashed.replace("-", "") == card.replace(" ", "") and sum(sum(divmod(d * (1 + i % 2), 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
+def test_surrogate_names_are_distinct(documents):
+    """More given names than the table has: still one each."""
+    names = [f"{a}{b}{c}" for a in "BDF" for b in "aeiou" for c in ("lan", "ras", "min", "tok")]
+    out = surrogates.replace(documents([(k, f"Mrs {x} Stone") for k, x in enumerate(names)] + [(99, f"Mr {names[0]} Stone")]), "k").collect()
+    assert len({r.text for r in out}) == len(out) and len({r.text.split()[2] for r in out}) == 1
+
+
 def test_surrogates_stay_distinct(documents):
     """All numbers of a small domain: most first tries collide with others or with real ones."""
     rows = [(k, f"card 4111-1111-1111-{k}") for k in range(10)] + [(100 + k, f"call 555-0{k:02d}-0000") for k in range(60)]
