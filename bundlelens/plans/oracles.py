@@ -241,7 +241,8 @@ def oracle_sql() -> dict[str, str]:
     o["filtered_share"] = _q(f"select count(*) filter ({_CROSS}) filtered, count(*) total, {ratio(f'count(*) filter ({_CROSS})', N)} share from h")
     o["open_households"] = _q(f"select count(*) open_households, {msum(CLTV)} open_cltv from h where converted_mphh=0")
     o["warm_leads"] = _q("select household_id, agency_channel, propensity_score, projected_mphh_cltv from h where property_quote_started=1 and converted_mphh=0")
-    o["decile_band"] = _q("select household_id, propensity_score, decile from d where decile<=2", *_DECILED)
+    for name, k in (("decile_band", 2), ("decile_band_1", 1), ("decile_band_3", 3), ("decile_band_10", 10)):
+        o[name] = _q(f"select household_id, propensity_score, decile from d where decile<={k}", *_DECILED)
     o["leaderboard_channel"] = _q(f"select {_ORDER_GRAIN}, households, converted, rate_pct from lb where {_in('agency_channel', R.BOARD_CHANNELS)}", _LB)
     o["having_min_group"] = _q("select agency_channel, policy_tier, count(*) households from h group by 1,2 having count(*)>=500")
 
@@ -417,15 +418,18 @@ def oracle_sql() -> dict[str, str]:
     o["cohort_groups_mean"] = _q(f"select {_case('quarter', S.COHORT_GROUPS)} cohort, tenure_bucket, {r('avg(rate_pct)', 6)} rate_pct from cells where {_in('quarter', S.COHORT_GROUPS)} group by 1,2", _COHORT)
     o["agent_leaderboard"] = _q("""select *, rank() over (order by converted desc) rank_converted, rank() over (order by rate desc) rank_rate,
  rank() over (order by total_cltv desc) rank_cltv from lb""", _LB)
-    o["leaderboard_top"] = _q(f"""select p as position, case p when 1 then '1st' when 2 then '2nd' when 3 then '3rd' else p||'th' end position_label, {_ORDER_GRAIN}, households, converted, rate_pct, total_cltv
- from (select *, row_number() over (order by rate_pct desc, {_ORDER_GRAIN}) p from lb) where p<=15""", _LB)
+    boards = {"": "rate_pct", "_conversions": "converted", "_cltv": "total_cltv"}
+    for mode, by in boards.items():
+        o[f"leaderboard_top{mode}"] = _q(f"""select p as position, case p when 1 then '1st' when 2 then '2nd' when 3 then '3rd' else p||'th' end position_label, {_ORDER_GRAIN}, households, converted, rate_pct, total_cltv
+ from (select *, row_number() over (order by {by} desc, {_ORDER_GRAIN}) p from lb) where p<=15""", _LB)
     o["agent_rate_spread"] = _q("select agency_channel, count(*) leaderboard_rows, " + ", ".join(
         f"{r(f'quantile_cont(rate_pct,{q})', 4)} {n}_rate_pct" for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
         + f", {r(mean_of('rate_pct', 100), 4)} mean_rate_pct from lb group by 1", _LB)
     o["region_agents"] = _q(f"select region, count(*) agents, {r(mean_of('rate_pct', 100), 6)} avg_rate_pct, {r(mean_of('total_cltv_k', 10), 6)} avg_cltv_k from lb group by 1", _LB)
     down = ", ".join(f"{c} desc" for c in agents.GRAIN)
-    o["agent_gap"] = _q(f"""select {r(first(f'rate_pct desc, {_ORDER_GRAIN}').format('lb'), 6)} top_avg_rate, {r('quantile_cont(rate_pct,0.5)', 4)} median_rate,
- {r(first(f'rate_pct, {down}').format('lb'), 6)} bottom_avg_rate from lb""", _LB)
+    for mode, by in boards.items():
+        o[f"agent_gap{mode}"] = _q(f"""select {r(first(f'{by} desc, {_ORDER_GRAIN}').format('lb'), 6)} top_avg_rate, {r('quantile_cont(rate_pct,0.5)', 4)} median_rate,
+ {r(first(f'{by}, {down}').format('lb'), 6)} bottom_avg_rate from lb""", _LB)
     leader = lambda what, by: f"(select {what} from lb order by {by} desc, {_ORDER_GRAIN} limit 1)"
     o["top_agent"] = _q(f"""select count(*) leaderboard_rows, {leader('agent_id', 'converted')} top_agent_by_conversions, max(converted) top_converted,
  {leader('agent_id', 'rate_pct')} top_agent_by_rate, {leader('agency_channel', 'rate_pct')} top_rate_channel, max(rate_pct) top_rate_pct,

@@ -1,6 +1,7 @@
 """Every operator applied to the household view: key -> callable(spark, sf_dir)."""
 
 from collections.abc import Callable
+from functools import partial
 from threading import Lock
 from typing import NamedTuple
 from uuid import uuid4
@@ -219,6 +220,8 @@ def queries() -> dict[str, Query]:
         "warm_leads": _on(H, lambda h: filters.warm_leads(h).select(
             "household_id", "agency_channel", "propensity_score", "projected_mphh_cltv")),
         "decile_band": _on(H, lambda h: filters.decile_band(_deciled(h), 2).select("household_id", "propensity_score", "decile")),
+        **{f"decile_band_{k}": _on(H, lambda h, k=k: filters.decile_band(_deciled(h), k).select("household_id", "propensity_score", "decile"))
+           for k in (1, 3, 10)},
         "leaderboard_channel": boarded(lambda lb: filters.leaderboard_channel(lb, BOARD_CHANNELS).select(
             *agents.GRAIN, "households", "converted", "rate_pct")),
         "having_min_group": _on(H, lambda h: filters.having_min_group(
@@ -274,9 +277,11 @@ def queries() -> dict[str, Query]:
         "yoy_summary": _on(B, lambda b: quarters.yoy_summary(quarters.yoy_table(b))),
         "agent_leaderboard": _on(B, agents.agent_leaderboard),
         "leaderboard_top": boarded(agents.leaderboard_top),
+        **{f"leaderboard_top_{by}": boarded(partial(agents.leaderboard_top, rank_by=by)) for by in ("conversions", "cltv")},
         "agent_rate_spread": boarded(agents.agent_rate_spread),
         "region_agents": boarded(agents.region_agents),
         "agent_gap": boarded(agents.agent_gap),
+        **{f"agent_gap_{by}": boarded(partial(agents.agent_gap, rank_by=by)) for by in ("conversions", "cltv")},
         "top_agent": boarded(agents.top_agent),
         "state_summary": _on(B, states.state_summary),
         "state_spread": _on(B, lambda b: states.state_spread(states.state_summary(b))),
