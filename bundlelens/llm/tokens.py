@@ -33,6 +33,22 @@ class Encoder:
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def each(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, 2,000 at a time as one text that is cut at their starts; words that may hold special tokens by themselves."""
+        import numpy as np
+
+        if any("<|" in w for w in words):
+            return self.ids(words)
+        out = []
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in part])
+            cut = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids)), ends).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            out += [ids[4 * a : 4 * b] for a, b in zip([0, *cut], cut)]
+        return out
+
     def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
@@ -44,7 +60,7 @@ class Encoder:
                 yield b"".join(map(known.__getitem__, words))
             except KeyError:
                 new = [w for w in dict.fromkeys(words) if w not in known]
-                own = dict(zip(new, self.ids([w.decode("utf-8", "replace") for w in new])))
+                own = dict(zip(new, self.each([w.decode("utf-8", "replace") for w in new])))
                 if len(known) + len(own) <= self.limit:
                     known.update(own)
                     yield b"".join(map(known.__getitem__, words))
