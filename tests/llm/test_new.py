@@ -297,12 +297,3 @@ def test_a_full_word_cache_changes_nothing(limit):
     texts = [" ".join(r.choice(["Word", "word.", "é", "12,5", "don't", f"x{r.randint(0, 99)}"]) for _ in range(r.randint(0, 30))) for _ in range(60)]
     enc = Encoder(Q.TOKENIZER, limit)
     assert list(enc.encode([t.encode() for t in texts])) == enc.ids(texts) and len(enc.known) <= limit
-
-
-def test_words_encoded_together():
-    """Words joined and cut again have the ids that each has alone, also odd ones without ids."""
-    e = Encoder(Q.TOKENIZER)
-    odd = ["\u200b", "\x00", "é", "e\u0301", "İ", "ǅ", "漢字", "a\u00a0b", "🙂🙂", "...", "\ufeffx", "\u2028", "ß", "x" * 5000, "12.5%", "don't"]
-    words = odd + [f"w{k}{chr(0x100 + k)}" for k in range(4500)] + odd[::-1]
-    assert e.each(words) == e.ids(words) and e.each([]) == []
-    assert e.each(["<|endoftext|>", "a<|b"]) == e.ids(["<|endoftext|>", "a<|b"])
