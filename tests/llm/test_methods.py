@@ -298,6 +298,20 @@ def test_pipeline(spark):
     assert set(seen["decontamination"]) <= kept and set(seen["packing"]) == set(seen["decontamination"])
 
 
+def test_pipeline_edges(documents, spark):
+    """Null and empty texts, null and repeated ids, repeated rows, clashing columns, and a table without rows."""
+    text = " ".join(f"word{k} and other{k}." for k in range(60))
+    rows = [(1, text), (1, text), (None, text.replace("word", "term")), (2, None), (3, ""), (2, text.replace("word", "noun"))]
+    for given, ids in ((rows, [None, 1, 2]), ([], [])):
+        docs = documents(given or [(1, "x")]).filter(F.lit(bool(given)))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF01)
+            if name != "packing":
+                assert out.columns == docs.columns
+                docs = spark.createDataFrame(out.collect(), out.schema)
+        assert sorted({r.doc_id for r in out.collect()}, key=lambda i: (i is not None, i)) == ids
+
+
 def test_empty(documents, spark):
     none, bench = documents([(1, "x")]).filter("doc_id = 2"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
