@@ -1,6 +1,8 @@
 """Documents to packed training sequences, in five stages.
 
 A stage takes (spark, docs, sf_dir) and returns the rows it keeps with the columns of ``documents``; the last returns packed pieces.
+Null text counts as empty, and quality rules reject it; of equal rows, and of a group of near copies, one row stays, that of the least id
+(a null id only where no other is); further columns of any name come along; a table without rows gives none at every stage.
 Each result is written as Parquet in the shared folder and read again as the next stage's input, so a lost executor costs no earlier stage.
 """
 
