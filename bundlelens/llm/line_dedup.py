@@ -39,26 +39,26 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     return both.filter(common * (100 + percent) >= percent * (F.col("a_m") + F.col("b_m"))).select("a", "b")
 
 
-#: A set's bitmap has so many words of 64 bits.
-WORDS = 8
+#: A set's bitmap has so many words of 64 bits. Lines of some 500 shingles fill a quarter of it, so that those that differ still show.
+WORDS = 32
+#: Pairs are ruled out by so many words first, by all of them afterwards.
+FIRST = 8
 
 
 def bitmaps(texts: DataFrame, width: int) -> DataFrame:
-    """``h``, ``m`` (number of shingles) and a bitmap of them in ``w0``, ``w1``, ..."""
-    sets = texts.select("h", F.array_distinct(F.transform(shingles(F.col("norm"), width), lambda x: F.xxhash64(x))).alias("s"))
-
-    def word(k: int) -> Column:
-        own = F.filter("s", lambda x: F.shiftrightunsigned(x, 61) == k)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-
-    return sets.select("h", F.size("s").alias("m"), *(word(k).alias(f"w{k}") for k in range(WORDS)))
+    """``h``, ``m`` (number of shingles) and a bitmap of them in ``w0``, ``w1``, ... of the lines of ``texts`` (``h``, ``norm``, ``m``)."""
+    bits = texts.select("h", "m", F.explode(shingles(F.col("norm"), width)).alias("s")).select("h", "m", F.xxhash64("s").alias("x"))
+    bits = bits.select("h", "m", F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1)).alias("k"),
+                       F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    return bits.groupBy("h").agg(F.max("m").alias("m"), *(F.bit_or(F.when(F.col("k") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)))
 
 
 def may_be_alike(a: str, b: str, percent: int) -> Column:
     """False only for pairs below ``percent``: bits that differ are fewer than shingles that differ, of which a similar pair has few."""
-    differ = sum((F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{a}w0").bitwiseXOR(F.col(f"{b}w0"))))
     m = F.col(f"{a}m"), F.col(f"{b}m")
-    return (100 * F.least(*m) >= percent * F.greatest(*m)) & (differ * (100 + percent) <= (m[0] + m[1]) * (100 - percent))
+    differ = [F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}"))) for k in range(WORDS)]
+    few = [sum(differ[1:n], differ[0]) * (100 + percent) <= (m[0] + m[1]) * (100 - percent) for n in (FIRST, WORDS)]
+    return (100 * F.least(*m) >= percent * F.greatest(*m)) & few[0] & few[1]
 
 
 def in_components(members: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
