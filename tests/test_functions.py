@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 
 from bundlelens.functions import numeric as num
 from bundlelens.functions.mapping import add_tenure_bucket, lookup
-from bundlelens.functions.ordering import count_before, exact_ntile, quantile_deciles, top_n_per_group
+from bundlelens.functions.ordering import count_before, exact_ntile, quantile_deciles, quantile_edges, top_n_per_group
 
 
 def test_rounding_goes_away_from_zero(spark):
@@ -102,3 +102,15 @@ def test_top_n_per_group_equals_window(spark):
     want = (df.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy(*order))).filter("p <= 40"))
     got = top_n_per_group(df, ["g"], order, 40, "p")
     assert {(r.g, r.k, r.p) for r in got.collect()} == {(r.g, r.k, r.p) for r in want.collect()}
+
+
+@pytest.mark.parametrize("kind,n,bins", [("hot", 3001, 10), ("few", 997, 4), ("signed", 501, 7), ("signed", 2, 10), ("tenths", 11, 10), ("few", 1, 3)])
+def test_quantile_edges_look_closely_at_few_levels(spark, kind, n, bins):
+    """Lists of spots are made for the levels that hold one, at most two per edge; the edges are those of numpy."""
+    pdf = pd.DataFrame({"s": _scores(kind, n, n)})
+    edges = quantile_edges(spark.createDataFrame(pdf), "s", bins)
+    want = np.unique(np.quantile(-pdf["s"], np.arange(bins + 1) / bins))
+    assert np.allclose(edges.first().edges, want, rtol=1e-12)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate"):].splitlines()
+    assert any("Filter" in x and " div " in x for x in below[1:4])
