@@ -394,3 +394,14 @@ def test_area_equals_the_evaluator(spark):
 def test_confusion_without_positive_predictions(make):
     row = propensity.confusion(make([{}]).withColumn("prediction", F.lit(0))).first()
     assert (row.precision, row.recall, row.accuracy) == (0.0, 0.0, 1.0)
+
+
+def test_importances_need_no_scores(spark, monkeypatch, tmp_path):
+    model = propensity.train_gbt(propensity.stratified_split(propensity.encode_features(stored_households(spark, SF001))).filter("split = 'train'"), rounds=2)
+    monkeypatch.setattr(propensity, "train_gbt", lambda train, **k: model)
+    monkeypatch.setattr(propensity, "write_scores", None)
+    monkeypatch.setattr(registry, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(registry, "_fitted", {})
+    assert registry.queries()["leading_features"](spark, SF001).count() == 10
+    assert registry.queries()["feature_importance"](spark, SF001).count() == len(S.FEATURES)
+    assert registry.queries()["train_gbt"](spark, SF001).first().trees == 2
