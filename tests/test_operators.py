@@ -405,3 +405,15 @@ def test_importances_need_no_scores(spark, monkeypatch, tmp_path):
     assert registry.queries()["leading_features"](spark, SF001).count() == 10
     assert registry.queries()["feature_importance"](spark, SF001).count() == len(S.FEATURES)
     assert registry.queries()["train_gbt"](spark, SF001).first().trees == 2
+
+
+@pytest.mark.parametrize("most", [2000, 300, 40])
+def test_the_fit_gets_the_sample_in_one_reading(spark, monkeypatch, most):
+    """The rows of ``training_sample``, without its two counts over the whole table."""
+    rows = propensity.stratified_split(propensity.encode_features(stored_households(spark, SF001))).filter("split = 'train'")
+    want, got = propensity.training_sample(rows, most), []
+    monkeypatch.setattr(propensity.GBTClassifier, "fit", lambda self, df: got.append((df.columns, sorted((*r.features, r.label) for r in df.collect()))))
+    want = sorted((*(float(r[c]) for c in S.FEATURES), float(r[S.TARGET])) for r in want.collect())
+    monkeypatch.setattr(propensity, "training_sample", None)
+    propensity.train_gbt(rows, max_train_rows=most)
+    assert got == [(["features", "label"], want)]
