@@ -36,31 +36,48 @@ class Tokens(dict):
         if len(self) > 1_000_000:
             self.clear()
         text = word.decode("utf-8", "replace")
-        core = _EDGE.sub("", text)
-        low = core.lower()
-        kind = NUMBER if _NUMBER.fullmatch(core) else UNIT if low in UNITS else PLAIN
-        code = kind | core[:1].isupper() << 2 | (text[-1:] in ".!?:|") << 3 | bool(core) << 4
+        if text.isalpha():
+            # Letters alone have no marks at their ends and are no number.
+            low = text.lower()
+            code = (UNIT if low in UNITS else PLAIN) | text[0].isupper() << 2 | 1 << 4
+        else:
+            core = _EDGE.sub("", text)
+            low = core.lower()
+            kind = NUMBER if _NUMBER.fullmatch(core) else UNIT if low in UNITS else PLAIN
+            code = kind | core[:1].isupper() << 2 | (text[-1:] in ".!?:|") << 3 | bool(core) << 4
         value = self[word] = xxhash.xxh3_64_intdigest(low) & ~31 | code
         return value
 
 
-def template(text: bytes, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Plain hashes, typed hashes and types of a text's tokens.
+#: What stands for a type of token in a template.
+_PLACEHOLDER = mixed(np.arange(4, dtype=np.uint64))
+
+
+def template(text: bytes, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Three rows of hashes of a text's tokens, plain, typed and by value, and the tokens' types.
 
     A capitalised word is a name unless it begins a sentence or line; runs of marks alone are no tokens.
     """
     words = text.split()
-    plain = np.fromiter(map(tokens.__getitem__, words), np.uint64, len(words))
-    code = (plain & np.uint64(31)).astype(np.int64)
-    plain &= ~np.uint64(31)
+    value = np.fromiter(map(tokens.__getitem__, words), np.uint64, len(words))
+    code = (value & np.uint64(31)).astype(np.uint8)
     kind = code & 3
-    begins = np.concatenate([[True], (code[:-1] & 8) > 0])[: len(code)]
-    kind[(kind == PLAIN) & ((code & 4) > 0) & ~begins] = NAME
-    word = (code & 16) > 0
-    plain, kind = plain[word], kind[word]
-    typed = np.where(kind > 0, mixed(kind.astype(np.uint64)), plain)
+    name = (code & 7) == 4
+    name[:1] = False
+    name[1:] &= (code[:-1] & 8) == 0
+    kind[name] = NAME
+    word = code > 15
+    if not word.all():
+        value, kind = value[word], kind[word]
+    value &= ~np.uint64(31)
+    forms = np.empty((3, len(value)), np.uint64)
+    forms[:] = value
     # Numbers and units are placeholders in both forms, names only in the typed one, for texts that changed their case.
-    return np.where((kind == NUMBER) | (kind == UNIT), typed, plain), typed, kind
+    at = np.flatnonzero(kind)
+    forms[1, at] = _PLACEHOLDER[kind[at]]
+    at = at[kind[at] != NAME]
+    forms[0, at] = forms[1, at]
+    return forms, kind
 
 
 def covered(ats: list[int], n: int) -> int:
@@ -68,29 +85,24 @@ def covered(ats: list[int], n: int) -> int:
     return sum(min(n, b - a) for a, b in zip(ats, ats[1:])) + n if ats else 0
 
 
-def windows(x: np.ndarray, n: int) -> np.ndarray:
-    m = len(x) - n + 1
-    out = np.zeros(max(0, m), np.uint64)
-    for k in range(n if m > 0 else 0):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mixed(x[k : k + m] + np.uint64(k + 1))
-    return mixed(out)
-
-
-def keys(form: np.ndarray, n: int, literal: bool) -> np.ndarray:
-    """Windows of ``n`` tokens as join keys; different lengths, and templates and values, never meet."""
-    return mixed(windows(form, n) ^ mixed(np.array([2 * n + literal + 1], np.uint64)))
-
-
 class Doc:
     """Forms of a text's tokens and, per window of a length, its keys."""
 
     def __init__(self, text: bytes, tokens: Tokens):
-        self.plain, self.typed, self.kind = template(text, tokens)
-        value = np.fromiter(map(tokens.__getitem__, text.split()), np.uint64)
-        self.values = value[(value & np.uint64(16)) > 0] & ~np.uint64(31)
-
-    def keys(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return keys(self.plain, n, False), keys(self.typed, n, False), keys(self.values, n, True)
+        forms, self.kind = template(text, tokens)
+        self.values, self.mixed = forms[2], mixed(forms)
+
+    def keys(self, n: int) -> np.ndarray:
+        """Windows of ``n`` tokens as join keys, a row per form; different lengths, and templates and values, never meet."""
+        m = self.mixed.shape[1] - n + 1
+        if m <= 0:
+            return np.empty((3, 0), np.uint64)
+        out = self.mixed[:, :m].copy()
+        for k in range(1, n):
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += self.mixed[:, k : k + m]
+        out ^= mixed(np.array([[2 * n + 1], [2 * n + 1], [2 * n + 2]], np.uint64))
+        return mixed(out)
 
 
 class Item:
@@ -224,14 +236,15 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, window: int = 5, share: floa
         bits[(b - 1) * len(chunk) : b * len(chunk)] = np.frombuffer(bytes(chunk), np.uint8)
 
     def doc_windows(batches):
-        tokens, mask = Tokens(), np.uint64(FILTER_BITS - 1)
+        tokens, mask, one = Tokens(), np.uint64(FILTER_BITS - 1), np.uint8(1) << np.arange(8, dtype=np.uint8)
         for batch in batches:
             found = []
             for text in utf8(batch.column("text")):
                 doc, some = Doc(text, tokens), [np.empty(0, np.uint64)]
-                for w in (w for n in lengths for w in doc.keys(n)):
+                for n in lengths:
+                    w = doc.keys(n).ravel()
                     x = w & mask
-                    some.append(w[(bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 > 0])
+                    some.append(w[bits[x >> np.uint64(3)] & one[x & np.uint64(7)] > 0])
                 found.append(np.unique(np.concatenate(some)))
             row = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("th").take(row), pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))],

@@ -267,6 +267,27 @@ def test_leaks_of_items_without_words(documents, spark):
     assert out == {1: [], 2: [1], 3: [], 4: [2], 5: [], 6: [3], 7: [], 8: [4]}
 
 
+def test_each_word_of_a_document_is_looked_up_once():
+    class Counted(decontaminate.Tokens):
+        looked = 0
+
+        def __getitem__(self, word):
+            self.looked += 1
+            return super().__getitem__(word)
+
+    tokens = Counted()
+    text = "The cat, Tom, ran 5 km to Ulm. Kilometers later: ... tom ran 7 miles to Bonn".encode()
+    doc = decontaminate.Doc(text, tokens)
+    assert tokens.looked == len(text.split()) == 17 and len(doc.values) == 16
+    names, numbers, units = ([doc.kind.tolist().count(k)] for k in (decontaminate.NAME, decontaminate.NUMBER, decontaminate.UNIT))
+    assert (names, numbers, units) == ([3], [2], [3])
+    plain, typed, values = doc.keys(1)
+    # A word is the same with marks at its ends, with another case, and as a name in the plain form only.
+    assert plain[2] == plain[10] and typed[2] != typed[10] and values[2] == values[10]
+    assert plain[4] == plain[12] == typed[4] and values[4] != values[12]
+    assert doc.keys(17).shape == (3, 0) and len(set(doc.keys(16).ravel().tolist())) == 3
+
+
 def test_leaks_of_the_table(spark):
     """Every document that holds an item word for word is found, and none that shares less than half of any item's runs."""
     docs = spark.read.parquet(f"{SF01}/documents.parquet").collect()
