@@ -152,6 +152,14 @@ def test_store(documents, tricky, spark, tmp_path):
     assert [bytes(r["ids"]) for r in one] == [bytes(r["ids"]) for r in store.filter("id = 24").collect()]
 
 
+def test_store_is_read_by_one_python_step(documents, spark, tmp_path):
+    """A second step in the same task would keep a second Python worker per core, each of which later fills its own word cache."""
+    path = str(tmp_path / "store")
+    token_store.write_store(documents([(1, "a b"), (2, None)]), path, Q.TOKENIZER)
+    plan = token_store.checksums(token_store.read_store(spark, path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_empty(documents, spark, tmp_path):
     none = documents([(1, "x")]).filter("doc_id = 2")
     path = str(tmp_path / "none")
