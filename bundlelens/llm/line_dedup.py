@@ -18,8 +18,25 @@ BLANKS = " \t\n\x0b\f\r"
 
 
 def shingles(line: Column, width: int) -> Column:
-    """All runs of ``width`` characters, in order. Each match goes on by one character, so the time is linear in the line's length."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
+    """All runs of ``width`` characters, in order, in time linear in the line's length.
+
+    Where every character is one byte, runs are cut from the bytes; elsewhere each match of a pattern goes on by one character.
+    """
+    size = F.length(line)
+    cut = F.transform(F.array(line.cast("binary")), lambda raw: F.transform(F.sequence(F.lit(0), size - width), lambda k: F.substring(raw, k + 1, width).cast("string")))
+    matches = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
+    return F.when((F.octet_length(line) == size) & (size >= width), cut[0]).otherwise(matches)
+
+
+def spread(lines: DataFrame, width: int, *columns: str) -> DataFrame:
+    """``columns`` of ``lines``, ``k`` and ``s`` of each run of ``width`` characters of ``norm``, one row each.
+
+    ``s`` has four bytes per character in all lines: places are then found at once, and equal runs are equal bytes.
+    """
+    rows = lines.select(*columns, F.encode("norm", "UTF-32").alias("raw"))
+    last = F.shiftright(F.octet_length("raw"), 2) - width
+    rows = rows.select(*columns, "raw", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("k"))
+    return rows.select(*columns, "k", F.substring("raw", 4 * F.col("k") + 1, F.lit(4 * width)).alias("s"))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -39,26 +56,38 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     return both.filter(common * (100 + percent) >= percent * (F.col("a_m") + F.col("b_m"))).select("a", "b")
 
 
-#: A set's bitmap has so many words of 64 bits.
-WORDS = 8
+#: A set's bitmap has WIDE words of 64 bits; folded into WORDS of them, it is looked at first.
+WORDS, WIDE = 8, 32
 
 
 def bitmaps(texts: DataFrame, width: int) -> DataFrame:
-    """``h``, ``m`` (number of shingles) and a bitmap of them in ``w0``, ``w1``, ..."""
-    sets = texts.select("h", F.array_distinct(F.transform(shingles(F.col("norm"), width), lambda x: F.xxhash64(x))).alias("s"))
+    """``h``, ``m`` (number of shingles), a bitmap of them in ``wide`` and, folded, in ``w0``, ``w1``, ..."""
+    each = spread(texts, width, "h", "m").select("h", "m", F.xxhash64("s").alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
+    words = each.groupBy("h", F.shiftrightunsigned("x", 59).cast("int").alias("k")).agg(F.first("m").alias("m"), F.bit_or(bit).alias("v"))
+    sets = words.groupBy("h").agg(F.first("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("of"))
+    sets = sets.select("h", "m", F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: F.coalesce(F.try_element_at("of", k), F.lit(0).cast("long"))).alias("wide"))
 
-    def word(k: int) -> Column:
-        own = F.filter("s", lambda x: F.shiftrightunsigned(x, 61) == k)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    def folded(k: int) -> Column:
+        word = F.col("wide")[k]
+        for i in range(k + WORDS, WIDE, WORDS):
+            word = word.bitwiseOR(F.col("wide")[i])
+        return word
 
-    return sets.select("h", F.size("s").alias("m"), *(word(k).alias(f"w{k}") for k in range(WORDS)))
+    return sets.select("h", "m", "wide", *(folded(k).alias(f"w{k}") for k in range(WORDS)))
 
 
-def may_be_alike(a: str, b: str, percent: int) -> Column:
-    """False only for pairs below ``percent``: bits that differ are fewer than shingles that differ, of which a similar pair has few."""
+def may_be_alike(a: str, b: str, percent: int, also: Column | None = None) -> Column:
+    """False only for pairs below ``percent``, or without ``also``: bits that differ are fewer than shingles that differ, of which a similar pair has few.
+
+    The folded bitmaps rule out most pairs at little cost; ``also`` and the whole ones then nearly all others, also among long lines of one template.
+    """
     differ = sum((F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{a}w0").bitwiseXOR(F.col(f"{b}w0"))))
+    whole = F.aggregate(F.zip_with(f"{a}wide", f"{b}wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     m = F.col(f"{a}m"), F.col(f"{b}m")
-    return (100 * F.least(*m) >= percent * F.greatest(*m)) & (differ * (100 + percent) <= (m[0] + m[1]) * (100 - percent))
+    most = (m[0] + m[1]) * (100 - percent)
+    few = (100 * F.least(*m) >= percent * F.greatest(*m)) & (differ * (100 + percent) <= most)
+    return (few if also is None else few & also) & (whole * (100 + percent) <= most)
 
 
 def in_components(members: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,8 +110,7 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
     """
     docs = documents(df, id_col, text_col)
     lines = split_lines(docs).withColumns({"h": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm"), "long": F.length("norm") >= min_chars})
-    each = lines.filter("long").select("h", "h2", F.posexplode(shingles(F.col("norm"), width)).alias("k", "s"))
-    each = each.select("h", "h2", "k", F.hash("s").alias("v"))
+    each = spread(lines.filter("long"), width, "h", "h2").select("h", "h2", "k", F.hash("s").alias("v"))
     slots = [F.min(F.hash(F.lit(i), "v")).alias(f"m{i}") for i in range(2 * bands)]
     signs = each.groupBy("h").agg(F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("n"), F.min("h2").alias("x"), F.max("h2").alias("y"), *slots)
     signs = signs.filter("x = y")
@@ -111,12 +139,12 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
     bits = bitmaps(texts.join(placed.join(center.select("b"), "b").select("h").distinct(), "h"), width)
     bits = hold(bits.join(signs.select("h", "keys"), "h"))
     placed = hold(placed.join(center, "b").join(bits, "h"))
-    outside = placed.filter("c <> center").select(F.col("b").alias("ob"), F.col("h").alias("o"), F.col("c").alias("oc"), F.col("m").alias("om"), F.col("keys").alias("okeys"),
+    outside = placed.filter("c <> center").select(F.col("b").alias("ob"), F.col("h").alias("o"), F.col("c").alias("oc"), F.col("m").alias("om"), F.col("keys").alias("okeys"), F.col("wide").alias("owide"),
                                                   *(F.col(f"w{k}").alias(f"ow{k}") for k in range(WORDS)))
     # A pair is made in the first bucket that it shares, not in each of them.
     first_shared = F.coalesce(*(F.when(F.col("okeys")[i] == F.col("keys")[i], F.col("keys")[i]) for i in range(bands)))
     cross = outside.join(placed.filter("h <> hub"), (F.col("ob") == F.col("b")) & (F.col("oc") != F.col("c"))
-                         & ((F.col("c") == F.col("center")) | (F.col("o") < F.col("h"))) & may_be_alike("o", "", percent) & (first_shared == F.col("b")))
+                         & ((F.col("c") == F.col("center")) | (F.col("o") < F.col("h"))) & may_be_alike("o", "", percent, first_shared == F.col("b")))
     more = hold(alike(cross.select(F.col("o").alias("a"), F.col("h").alias("b")), texts, width, percent))
     if not more.isEmpty():
         linked = components(links.unionByName(more))

@@ -33,6 +33,30 @@ def test_lines(documents, tricky):
     assert marked(line_dedup.mark_lines(documents(rows))) == dense_lines(rows)
 
 
+def test_bitmaps_rule_out_long_lines_of_one_template(spark):
+    """Lines of some 480 shingles at about 65 percent share many bands; their join must not hand on every pair."""
+    import random
+
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    base = "".join(r.choice(letters) for _ in range(490))
+    rows = [(i, base[:390] + "".join(r.choice(letters) for _ in range(100))) for i in range(40)] + [(40, base), (41, base[:480] + "tail words")]
+    texts = spark.createDataFrame(rows, "h long, norm string").withColumn("m", F.size(F.array_distinct(line_dedup.shingles(F.col("norm"), 12))))
+    bits = line_dedup.bitmaps(texts, 12)
+    left = bits.select(*(F.col(c).alias(f"o{c}") for c in bits.columns))
+    passed = {(x.oh, x.h) for x in left.join(bits, F.col("oh") < F.col("h")).filter(line_dedup.may_be_alike("o", "", 80)).collect()}
+    assert (40, 41) in passed and len(passed) <= 20
+
+
+def test_shingles_of_any_characters(spark):
+    lines = ["plain ascii line of text", "plain ascii line of text é", "中文 😀 mixed with plain ascii line", "short", "", "a" * 12, "é" * 12]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, norm string")
+    want = {i: [x[k : k + 12] for k in range(len(x) - 11)] for i, x in enumerate(lines)}
+    assert {x.i: x.s for x in df.select("i", line_dedup.shingles(F.col("norm"), 12).alias("s")).collect()} == want
+    rows = sorted((x.i, x.k, bytes(x.s).decode("utf-32-be")) for x in line_dedup.spread(df, 12, "i").collect())
+    assert rows == [(i, k, x) for i in want for k, x in enumerate(want[i])]
+
+
 def test_lines_of_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()]
     assert marked(Q.op4(spark, SF01).withColumnRenamed("doc_id", "id")) == dense_lines(rows)
