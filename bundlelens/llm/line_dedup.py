@@ -2,13 +2,13 @@
 
 Lines are compared by the ``width``-character shingles at every character. A signature of ``2 * bands`` least hashes per line is
 made where the lines are read, grouped by the line's hash and combined before the shuffle, so texts of lines aren't
-shuffled for it. Lines that share a band (two least hashes) are compared with the commonest of them; lines then left in
+shuffled for it; texts of lines in shared buckets are then cut from their documents. Lines that share a band (two least hashes) are compared with the commonest of them; lines then left in
 another component than it are compared with the rest of their bucket, where bitmaps of the shingles rule out pairs that cannot be
-alike within the join. Similarity is exact, on all shingles; components are
+alike within the join. Similarity counts all shingles, by hashes of 64 bits; components are
 found by distributed union-find.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bundlelens.llm.common import documents, hold
@@ -28,6 +28,11 @@ def shingles(line: Column, width: int) -> Column:
     return F.when((F.octet_length(line) == size) & (size >= width), cut[0]).otherwise(matches)
 
 
+def place(k: Column) -> Column:
+    """Where character ``k`` begins among four bytes per character. Bits need no test for overflow, which costs more than the sum."""
+    return F.shiftleft(k, 2).bitwiseOR(F.lit(1))
+
+
 def spread(lines: DataFrame, width: int, *columns: str) -> DataFrame:
     """``columns`` of ``lines``, ``k`` and ``s`` of each run of ``width`` characters of ``norm``, one row each.
 
@@ -36,13 +41,62 @@ def spread(lines: DataFrame, width: int, *columns: str) -> DataFrame:
     rows = lines.select(*columns, F.encode("norm", "UTF-32").alias("raw"))
     last = F.shiftright(F.octet_length("raw"), 2) - width
     rows = rows.select(*columns, "raw", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("k"))
-    return rows.select(*columns, "k", F.substring("raw", 4 * F.col("k") + 1, F.lit(4 * width)).alias("s"))
+    return rows.select(*columns, "k", F.substring("raw", place(F.col("k")), F.lit(4 * width)).alias("s"))
+
+
+def hashes(line: Column, width: int) -> Column:
+    """A 64-bit hash of each run of ``width`` characters, in order, of the four bytes per character that ``spread`` cuts."""
+    def cut(raw: Column) -> Column:
+        last = F.shiftright(F.octet_length(raw), 2) - width
+        each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.xxhash64(F.substring(raw, place(k), F.lit(4 * width))))
+        return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    # Within a function the line is encoded once, not for each run.
+    return F.transform(F.array(F.encode(line, "UTF-32")), cut)[0]
+
+
+#: Runs of a line that one row of the grouped pass holds; a power of two.
+STEP = 4
+
+
+def signatures(lines: DataFrame, width: int, bands: int) -> DataFrame:
+    """Per different line ``h``: ``n`` (how often it occurs), an ``id``, ``th`` and ``line_no`` where it stands, and a key per band.
+
+    Each run is hashed once. A slot takes the run whose hash is nearest to the slot's own number, by exclusive or: two lines agree in it
+    if the nearest of their union is in both, so with the probability of their similarity, and a line of few runs fills all slots.
+    """
+    slots = [(i << 32) // (2 * bands) + (i + 1) * 0x9E3779B1 % ((1 << 32) // (2 * bands)) - (1 << 31) for i in range(2 * bands)]
+    rows = lines.select("h", F.xxhash64(F.lit(1), "norm").alias("h2"), "id", "th", "line_no", F.encode("norm", "UTF-32").alias("raw"))
+    last = F.shiftright(F.octet_length("raw"), 2) - width
+    rows = rows.select("*", last.alias("last"), F.explode(F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(STEP)))).alias("k"))
+    # Behind the last run it is taken again, which changes no least value.
+    run = lambda j: F.substring("raw", place(F.least(F.col("k").bitwiseOR(F.lit(j)), F.col("last"))), F.lit(4 * width))
+    rows = rows.select("h", "h2", "id", "th", "line_no", "k", *(F.shiftright(F.xxhash64(run(j)), 32).cast("int").alias(f"v{j}") for j in range(STEP)))
+    least = [F.min(F.least(*(F.col(f"v{j}").bitwiseXOR(F.lit(x)) for j in range(STEP)))).alias(f"m{i}") for i, x in enumerate(slots)]
+    # All of ``first`` see the same row.
+    where = [F.first(c).alias(c) for c in ("id", "th", "line_no")]
+    signs = rows.groupBy("h").agg(F.count(F.when(F.col("k") == 0, True)).alias("n"), F.min("h2").alias("x"), F.max("h2").alias("y"), *where, *least)
+    keys = F.array(*(F.xxhash64(F.lit(i), f"m{2 * i}", f"m{2 * i + 1}") for i in range(bands)))
+    return signs.filter("x = y").select("h", "n", "id", "th", "line_no", keys.alias("keys"))
+
+
+def normal(line: str) -> Column:
+    return F.lower(F.btrim(line, F.lit(BLANKS)))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """``id``, ``th``, ``line_no``, ``line`` as it stands, and ``norm`` to compare: lower case, without blanks at its ends."""
     lines = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("norm", F.lower(F.btrim("line", F.lit(BLANKS))))
+    return lines.withColumn("norm", normal("line"))
+
+
+def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``h`` and ``norm`` of the ``wanted`` lines (``h``, ``id``, ``th``, ``line_no``), cut from their documents' texts."""
+    wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("h", "line_no")).alias("of"))
+    found = docs.join(wanted.withColumnsRenamed({"id": "wid", "th": "wth"}), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
+    # Within a function the text is split once, not for each line.
+    cut = F.transform(F.array(F.split("text", "\n")), lambda parts: F.transform("of", lambda w: F.struct(w["h"].alias("h"), parts[w["line_no"]].alias("line"))))[0]
+    return found.select(F.inline(cut)).select("h", normal("line").alias("norm")).dropDuplicates(["h"])
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -52,7 +106,7 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     """
     left, right = (texts.select(F.col("h").alias(x), F.col("norm").alias(f"{x}_norm"), F.col("m").alias(f"{x}_m")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").filter(100 * F.least("a_m", "b_m") >= percent * F.greatest("a_m", "b_m"))
-    common = F.size(F.array_intersect(shingles(F.col("a_norm"), width), shingles(F.col("b_norm"), width)))
+    common = F.size(F.array_intersect(hashes(F.col("a_norm"), width), hashes(F.col("b_norm"), width)))
     return both.filter(common * (100 + percent) >= percent * (F.col("a_m") + F.col("b_m"))).select("a", "b")
 
 
@@ -109,21 +163,15 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
     collide are left alone.
     """
     docs = documents(df, id_col, text_col)
-    lines = split_lines(docs).withColumns({"h": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm"), "long": F.length("norm") >= min_chars})
-    each = spread(lines.filter("long"), width, "h", "h2").select("h", "h2", "k", F.hash("s").alias("v"))
-    slots = [F.min(F.hash(F.lit(i), "v")).alias(f"m{i}") for i in range(2 * bands)]
-    signs = each.groupBy("h").agg(F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("n"), F.min("h2").alias("x"), F.max("h2").alias("y"), *slots)
-    signs = signs.filter("x = y")
-    keys = F.array(*(F.xxhash64(F.lit(i), f"m{2 * i}", f"m{2 * i + 1}") for i in range(bands)))
-    signs = hold(signs.select("h", "n", keys.alias("keys")))
-    banded = signs.select("h", F.explode("keys").alias("b"))
-    often = hold(banded.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1"))
-    members = hold(banded.join(often, "b"))
-    weights = members.select("h").distinct().join(signs.select("h", "n"), "h")
-    hubs = members.join(weights, "h").groupBy("b").agg(F.max(F.struct("n", "h")).getField("h").alias("hub"))
-    members = hold(members.join(hubs, "b"))
-    texts = lines.filter("long").select("h", "norm").join(weights.select("h"), "h").dropDuplicates(["h"])
-    texts = hold(texts.withColumn("m", F.size(F.array_distinct(shingles(F.col("norm"), width)))))
+    lines = split_lines(docs).withColumns({"h": F.xxhash64("norm"), "long": F.length("norm") >= min_chars})
+    signs = hold(signatures(lines.filter("long"), width, bands))
+    bucket = Window.partitionBy("b")
+    members = signs.select("h", "n", F.explode("keys").alias("b")).withColumns({"size": F.count("*").over(bucket), "hub": F.max(F.struct("n", "h")).over(bucket)["h"]})
+    members = hold(members.filter("size > 1"))
+    weights = hold(members.select("h", "n").distinct())
+    members = members.drop("n")
+    texts = fetched(docs, signs.join(weights.select("h"), "h"))
+    texts = hold(texts.withColumn("m", F.size(F.array_distinct(hashes(F.col("norm"), width)))))
     tried = members.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
     links = hold(alike(tried, texts, width, percent))
     linked = components(links)
@@ -150,13 +198,13 @@ def mark_lines(df: DataFrame, min_chars: int = 24, width: int = 12, bands: int =
         linked = components(links.unionByName(more))
     # Lines that occur once and are linked with none need no more looking up.
     nodes = linked.select(F.col("node").alias("h"), F.col("component").alias("c"))
-    again = signs.filter("n > 1").select("h").join(nodes, "h", "full").select("h", F.coalesce("c", "h").alias("c"))
-    every = hold(lines.select("id", "th", "line_no", F.when(F.col("long"), F.col("h")).alias("h")))
-    slim = every.filter("h is not null").join(again, "h")
-    slim = hold(slim.select("id", "th", "line_no", "c"))
+    again = hold(signs.filter("n > 1").select("h").join(nodes, "h", "full").select("h", F.coalesce("c", "h").alias("c")))
+    # Short lines are looked up by a key of their own, so they don't meet in one task.
+    every = hold(lines.select("id", "th", "line_no", "long", F.when(F.col("long"), F.col("h")).otherwise(F.xxhash64(F.lit(2), "th", "line_no")).alias("key")))
+    slim = every.filter("long").join(again, F.col("key") == F.col("h"))
     first = slim.groupBy("c").agg(F.min(F.struct("id", "th", "line_no")).alias("first"))
-    found = slim.join(first, "c").select(F.col("id").alias("i"), F.col("th").alias("t"), F.col("line_no").alias("l"), "first").distinct()
-    out = every.select("id", "th", "line_no").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")) & (F.col("line_no") == F.col("l")), "left")
+    found = again.join(first, "c").select("h", F.lit(True).alias("is"), "first")
+    out = every.join(found, (F.col("key") == F.col("h")) & (F.col("long") == F.col("is")), "left")
     own = F.col("first").isNull() | (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.th") == F.col("th")) & (F.col("first.line_no") == F.col("line_no")))
     return out.select("id", "th", "line_no", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("first_id"),
                       F.coalesce("first.line_no", "line_no").alias("first_line"), own.alias("kept"))

@@ -57,6 +57,25 @@ def test_shingles_of_any_characters(spark):
     assert rows == [(i, k, x) for i in want for k, x in enumerate(want[i])]
 
 
+def test_signatures_hash_each_run_once(spark):
+    """Rows of the grouped pass hold several runs; every line has all its keys and a place where its text is found again."""
+    texts = [(1, "One line of forty characters or some more\n中文 😀 mixed with plain ascii line\nshort"), (2, " one LINE of forty characters or some more"),
+             (None, "x" * 300), (3, "ab" * 12), (3, "ab" * 12), (4, "one line of forty characters or some mor!")]
+    docs = line_dedup.documents(spark.createDataFrame(texts, "doc_id long, text string"))
+    lines = line_dedup.split_lines(docs).withColumn("h", F.xxhash64("norm")).filter(F.length("norm") >= 24)
+    signs = line_dedup.signatures(lines, 12, 8)
+    plan = signs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(raw") == line_dedup.STEP > 1
+    got = {r.norm: r for r in line_dedup.fetched(docs, signs).join(signs, "h").collect()}
+    assert {x: r.n for x, r in got.items()} == {"one line of forty characters or some more": 2, "中文 😀 mixed with plain ascii line": 1, "x" * 300: 1, "ab" * 12: 2,
+                                                "one line of forty characters or some mor!": 1}
+    assert all(len(set(r["keys"])) == 8 and None not in r["keys"] for r in got.values())
+    one, other = got["one line of forty characters or some more"]["keys"], got["one line of forty characters or some mor!"]["keys"]
+    assert sum(x == y for x, y in zip(one, other)) >= 5
+    sets = {r.norm: list(r.x) for r in line_dedup.fetched(docs, signs).select("norm", line_dedup.hashes(F.col("norm"), 12).alias("x")).collect()}
+    assert all(len(x) == len(norm) - 11 and len(set(x)) == len({norm[k : k + 12] for k in range(len(x))}) for norm, x in sets.items())
+
+
 def test_lines_of_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()]
     assert marked(Q.op4(spark, SF01).withColumnRenamed("doc_id", "id")) == dense_lines(rows)
